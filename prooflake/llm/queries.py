@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .bpe import op8_bpe
+from .html_render import op4_html_render
+from .license_scan import op7_license_scan
+from .ngram_join import op2_ngram_join
 from .packing import op9_packing
+from .quality import op5_quality
+from .secrets_scan import op1_secret_scan
 from .sharding import op10_sharding
+from .topk import op6_topk
 from .warc import op3_warc
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
+    "op4_html_render": op4_html_render,
+    "op5_quality": op5_quality,
+    "op6_topk": op6_topk,
+    "op7_license_scan": op7_license_scan,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_ngram_join": oracle.NGRAM_JOIN,
+    "op3_warc": oracle.WARC,
+    "op6_topk": oracle.TOP_K,
+    "op7_license_scan": oracle.LICENSES,
+}
