@@ -1,6 +1,10 @@
-"""Named queries and their SQL."""
+"""Named queries and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import audits, certificates, corpora, sequences
+
+QUERIES, ORACLE = {}, {}
+for _m in (sequences, corpora, audits, certificates):
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
