@@ -252,7 +252,7 @@ def read_decls(spark: SparkSession, path: str, form: str) -> DataFrame:
             rows = [(p, *d) for p, t in zip(b["path"], b["value"], strict=True) for d in parse(t)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "arity", "body"]).astype({"arity": "Int32"})
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(run, f"path string, {DECLS}")
 
 
@@ -276,7 +276,7 @@ def read_certs(spark: SparkSession, path: str, theory=None) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "error", "pos", "step_id", "rule", "witness_kind", "premises", "concl"])
             yield out.astype({"pos": "Int32", "step_id": "Int32"})
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(run, "path string, error string, pos int, step_id int, rule string, witness_kind string, premises array<int>, concl string")
 
 

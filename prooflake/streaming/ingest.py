@@ -41,4 +41,4 @@ def running_counts(steps: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Extension: event-time windows with a watermark for late rows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from prooflake.session import local_session
 
-    s = local_session(8, "tests")
+    s = local_session(4, "tests")
     yield s
     s.stop()
 
