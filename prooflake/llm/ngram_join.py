@@ -7,8 +7,9 @@ columns (any shingle that repeats among the sets of one slice counts); the most
 the end of the order, which affects cost and never the result.
 
 The product is taken by columns.  A column of k rows isn't expanded to k^2 pairs: its first row is paired with the
-others, the shared columns of each pair are added up, pairs outside the size bound are discarded, and the rest are
-verified on their whole sets, the partner with the most shared columns first.  Rows of one component need no further
+others.  Pairs outside the size bound are discarded; so are pairs whose shared columns among their first ones are too
+few: what lies beyond can't make up for them.  The rest are verified on their whole sets, the partner with the most
+shared columns first.  Rows of one component need no further
 pair, so a group of copies costs about a pair a member.  Columns whose other rows lie in several components go on:
 all pairs across components where these are few, else further first rows.  At the end every column has had each pair
 across components verified, hence the components are exact.
@@ -39,12 +40,15 @@ PERCENT = 75
 #: Shingles that one survey slice compares.
 SLICE = 3_000_000
 #: Frequent columns that are moved to the end of the order, and how often one must be seen for that.
-FREQUENT, SEEN = 1 << 17, 8
+FREQUENT, SEEN = 1 << 20, 3
 #: Bits of the filter that tells which texts to read again: 2 MB, whatever the input.
 FILTER_BITS = 24
-#: A column is finished by all pairs across components if so many rows at most lie outside its largest component.
-MINOR = 32
-ROUNDS = 6
+#: From the second round on, a column is finished by all pairs across components if so many rows at most lie outside
+#: its largest component; before, some eight of its rows meet all others.
+MINOR = 128
+#: Columns of more rows are taken together by their largest component: they mostly have the same rows.
+LARGE = 64
+ROUNDS = 4
 
 
 def set_hash(g: np.ndarray) -> int:
@@ -225,12 +229,21 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: in
     stars = keep.keep(entries.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_stars, "key long, lead long, sig long"), "stars")
     keep.release()
 
+    # the shared columns among the first ones of each row: what the size-derived bounds are held against
+    member = stars.select("sig", "key").union(stars.select("lead", "key")).distinct()
+    firsts = keep.keep(member.groupBy("sig").agg(F.collect_list("key").alias("keys")), "firsts")
+
     links: list[DataFrame] = []
 
     def verify(pairs: DataFrame, tag: str) -> None:
         """Keep those of the distinct pairs (a, b) that are links."""
         a, b = (classes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"rep{x}")) for x in "ab")
         sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        fa, fb = (firsts.select(F.col("sig").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
+        needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+        beyond = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
+        common = F.size(F.array_intersect("ka", "kb"))
+        sized = sized.join(fa, "a").join(fb, "b").where(common >= needed - beyond).drop("ka", "kb")
         sized = keep.keep(sized, f"pairs-{tag}")
         need = keep.keep(sized.select(F.col("repa").alias("doc_id"), F.col("a").alias("sig")).union(sized.select("repb", "b")).distinct(), f"need-{tag}")
         words = need.mapInArrow(_filter_words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
@@ -251,24 +264,47 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: in
             out = out.union(x)
         return out
 
-    def labels(tag: str) -> DataFrame:
-        return keep.keep(components(all_links(), keep, f"star-{tag}"), f"labels-{tag}")
-
     # each row with the first row that it shares most columns with
     shared = keep.keep(stars.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("columns")), "shared")
     best = shared.groupBy("sig").agg(F.max(F.struct("columns", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("sig").alias("b"))
     verify(best, "best")
-    label = labels("best")
+
+    def jumped(up: DataFrame, times: int) -> DataFrame:
+        """Follow (node, component) pointers, 2^times steps in all."""
+        for _ in range(times):
+            up = up.join(up.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        return up
+
+    # labels say which rows are known to be connected: equal labels are, different ones may be.  They save pairs only;
+    # the components come from all links at the end.  A row has one link at most to the row it was paired with.
+    label = keep.keep(jumped(links[0].select(F.col("b").alias("node"), F.col("a").alias("component")), 2), "labels-best")
 
     def relabel(df: DataFrame, column: str, as_: str) -> DataFrame:
-        """Add the component of a set; a set without links is its own."""
+        """Add the label of a set; a set without links is its own."""
         known = label.select(F.col("node").alias(column), F.col("component").alias("__c"))
         return df.join(known, column, "left").withColumn(as_, F.coalesce("__c", column)).drop("__c")
 
+    def join_labels(tag: str) -> DataFrame:
+        """Labels after the last links: a label that they join with smaller ones takes the smallest."""
+        ends = keep.keep(relabel(relabel(links[-1], "a", "la"), "b", "lb").where("la <> lb"), f"ends-{tag}")
+        up = ends.groupBy(F.greatest("la", "lb").alias("node")).agg(F.min(F.least("la", "lb")).alias("component"))
+        up = keep.keep(jumped(up, 3), f"up-{tag}")
+        named = label.union(ends.select(F.col("a").alias("node"), F.col("la").alias("component")).union(ends.select("b", "lb"))).distinct()
+        moved = named.join(up.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+        return keep.keep(moved.select("node", F.coalesce("next", "component").alias("component")), f"labels-{tag}")
+
+    def settled(tag: str) -> DataFrame:
+        """The components of all links so far: labels, joined by the links between them."""
+        ends = keep.keep(relabel(relabel(all_links(), "a", "la"), "b", "lb").select("a", "b", "la", "lb"), f"ends-{tag}")
+        across = keep.keep(components(ends.where("la <> lb").select("la", "lb"), keep, f"star-{tag}"), f"across-{tag}")
+        nodes = ends.select(F.col("a").alias("node"), F.col("la").alias("component")).union(ends.select("b", "lb")).distinct()
+        top = across.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        return keep.keep(nodes.join(top, "component", "left").select("node", F.coalesce("next", "component").alias("component")), f"labels-{tag}")
+
     # the other first rows, where they lie in another component
     rest = relabel(relabel(shared, "sig", "cs"), "lead", "cl").where("cs <> cl").select(F.col("lead").alias("a"), F.col("sig").alias("b"))
     verify(rest.join(best, ["a", "b"], "left_anti"), "rest")
-    label = labels("rest")
+    label = settled("rest")
 
     # columns whose other rows lie in several components
     open_ = stars.select("key", "sig")
@@ -281,16 +317,24 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: in
         each = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         of_key = each.groupBy("key").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "c")).alias("most"))
         rows = rows.join(of_key.select("key", "rows", F.col("most.c").alias("main"), (F.col("rows") - F.col("most.k")).alias("minor")), "key")
-        finish = F.lit(True) if turn == ROUNDS - 1 else F.col("minor") <= MINOR
-        chosen = F.pmod(F.xxhash64("sig", F.lit(turn)), F.greatest(F.lit(1).cast("long"), F.expr("rows div 8"))) == 0
-        rows = keep.keep(rows.select("key", "sig", "c", "main", finish.alias("finish"), chosen.alias("first")), f"rows-{turn}")
-        one = rows.where("finish AND c <> main OR NOT finish AND first").select("key", F.col("sig").alias("sx"), F.col("c").alias("cx"), "finish")
-        two = rows.select("key", F.col("sig").alias("sy"), F.col("c").alias("cy"), "main")
-        pairs = one.join(two, "key").where("cx <> cy AND (NOT finish OR cy = main OR sx < sy)")
+        finish = F.lit(True) if turn == ROUNDS - 1 else (F.col("rows") <= LARGE) | (F.lit(turn > 0) & (F.col("minor") <= MINOR))
+        # nested choices: columns of like size choose the same rows
+        rows = rows.withColumn("scale", F.greatest(F.lit(0), F.floor(F.log2(F.col("rows") / 8))).cast("int"))
+        chosen = F.pmod(F.xxhash64("sig", F.lit(turn)), F.expr("shiftleft(1L, scale)")) == 0
+        rows = keep.keep(rows.select("key", "sig", "c", "main", (F.col("rows") > LARGE).alias("large"), "scale", finish.alias("finish"), chosen.alias("first")), f"rows-{turn}")
+        # within each column, or, once for all large ones that have the same largest component, within their rows
+        group = F.when(F.col("large"), F.struct(F.col("scale").alias("large"), F.col("main").alias("of"))).otherwise(F.struct(F.lit(-1).alias("large"), F.col("key").alias("of")))
+        first = F.col("first") & ~F.col("finish")
+        met = rows.select(group.alias("g"), "sig", "c", "main", "finish", first.alias("first")).select("g.large", "g.of", "sig", "c", "main", "finish", "first").distinct()
+        one = met.where("finish AND c <> main OR NOT finish AND first").select("large", "of", F.col("sig").alias("sx"), F.col("c").alias("cx"), "finish")
+        two = met.select("large", "of", F.col("sig").alias("sy"), F.col("c").alias("cy"), "main").distinct()
+        pairs = one.join(two, ["large", "of"]).where("cx <> cy AND (NOT finish OR cy = main OR sx < sy)")
         verify(pairs.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct(), f"turn{turn}")
-        label = labels(f"turn{turn}")
+        if not links[-1].isEmpty():
+            label = join_labels(f"turn{turn}")
         open_ = rows.where("NOT finish AND NOT first").select("key", "sig")
 
+    label = settled("all")
     least = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("sig"), "component_id")
     found = classes.join(least, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))

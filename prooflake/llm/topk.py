@@ -1,11 +1,11 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Components are integers floor(256 x).  Vectors are stored in blocks; in a block each dimension's postings are sorted
-by component and cut into segments of equal quantised impact.  For a query, segments of all
-dimensions are taken by descending quantised impact.  A vector's score so far, and the most that its postings not
-taken yet can add, bound its score.  Processing stops only on proof: vectors whose bound is below the k-th best score
-so far can't be members, and once the possible members are few, exactly these are scored again.  Ties at the k-th
-score stay possible members.
+Components are integers floor(256 x).  Vectors are stored in blocks; the impact of a posting is its component over the
+least of its dimension in the block, quantised to base 16.  The index keeps the postings as segments of one digit each,
+the most significant first.  Scores of all vectors grow a segment at a time by descending impact, for a block of
+queries at once.  What the digits not read yet can still add bounds every score from both sides: processing stops only
+on proof, when few vectors can reach the k-th best lower bound, and exactly these possible members are scored again in
+integers.  Ties at the k-th score stay possible members.
 
 Blocks of queries meet blocks of vectors by a join on the query block's number; each pair of blocks gives k rows a
 query.  Nothing grows with the corpus in one task but the number of block pairs, each of bounded size.
@@ -29,10 +29,10 @@ from .scratch import Scratch
 SCALE = 256
 K_BEST = 5
 VECTORS, QUERIES = 8192, 512
-#: Quantised impacts per dimension of a block.
-LEVELS = 16
-#: Possible members that are scored exactly at once, and segments between two looks at the bounds.
-FEW, TURN = 512, 128
+#: Bits of a digit of the quantised impact.
+DIGIT = 4
+#: Possible members of a query that are scored exactly at once.
+FEW = 64
 
 
 def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -63,51 +63,49 @@ def _matrix(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
 
 
 class ImpactBlock:
-    """One block's postings: of each dimension, segments of equal quantised impact."""
+    """One block's postings: for each digit of the quantised impact, the most significant first, its segment."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
         self.low = matrix.min(axis=0)
-        self.span = matrix.max(axis=0) - self.low
-        self.level = ((matrix - self.low) * LEVELS // (self.span + 1)).astype(np.int8)
-        order = np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32)
-        ranked = np.take_along_axis(self.level, order.T, 0).T
-        self.segments = [np.split(o, np.searchsorted(r, np.arange(1, LEVELS))) for o, r in zip(order, ranked, strict=True)]
-
-    def impacts(self, q: np.ndarray) -> np.ndarray:
-        """The most that a posting of each dimension and level adds to a score, over the least any posting does."""
-        lv = np.arange(LEVELS)[None, :].astype(self.span.dtype)
-        span = self.span[:, None]
-        up = np.minimum(span, -(-(lv + 1) * (span + 1) // LEVELS))
-        down = span - lv * (span + 1) // LEVELS
-        return np.where(q[:, None] >= 0, q[:, None] * up, -q[:, None] * down)
-
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The exact best k (ids, scores) of a query, a score at a time."""
-        n, d = self.matrix.shape
-        q = np.concatenate((q, np.zeros(max(0, d - len(q)), q.dtype)))[:d]
-        alive = np.flatnonzero(self.ids != own)
-        most = self.impacts(q)
-        by = np.argsort(-most, axis=None, kind="stable")
-        zero = np.where(q >= 0, self.low, self.low + self.span)  # the component that adds nothing
-        taken = np.zeros((d, LEVELS), bool)
-        got = np.zeros(n, self.matrix.dtype)
-        for lo in range(0, len(by), TURN):
-            if len(alive) <= max(k, FEW):
+        impact = matrix - self.low
+        self.segments = []
+        if matrix.dtype != object:
+            for digit in range(-(-int(impact.max(initial=0)).bit_length() // DIGIT) - 1, -1, -1):
+                self.segments.append((1 << DIGIT * digit, ((impact >> DIGIT * digit) & ((1 << DIGIT) - 1)).astype(np.float64)))
+
+    def _possible(self, q: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per query the places of vectors that can be among its best k."""
+        other = self.ids[None, :] != own[:, None]
+        exact = int(np.abs(q).max(initial=0)) * int(np.abs(self.matrix).max(initial=0)) * max(1, q.shape[1]) < 1 << 52
+        if q.dtype == object or self.matrix.dtype == object or not exact or len(self.ids) <= k + 1:
+            return [np.flatnonzero(x) for x in other]  # sums beyond exact floats: all of them
+        wide = q.astype(np.float64)
+        score = np.where(other, (wide @ self.low.astype(np.float64))[:, None], -np.inf)
+        least = len(self.ids) - k
+        for unit, segment in self.segments:
+            score += unit * (wide @ segment.T)
+            # digits not read yet add up to unit - 1 to each component
+            margin = np.abs(wide).sum(axis=1) * (unit - 1)
+            reach = np.partition(score, least, axis=1)[:, least] - margin
+            alive = score >= reach[:, None]
+            if alive.sum(axis=1).max(initial=0) <= max(k, FEW):
                 break
-            for at in by[lo : lo + TURN].tolist():
-                dim, level = divmod(at, LEVELS)
-                s = self.segments[dim][level]
-                got[s] += q[dim] * (self.matrix[s, dim] - zero[dim])
-                taken[dim, level] = True
-            rest = np.where(taken, 0, most).max(axis=1)  # the most that a posting not taken yet adds
-            seen = np.take_along_axis(taken.T, self.level[alive].astype(np.int64), 0)
-            bound = got[alive] + (~seen) @ rest
-            least = np.partition(got[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[bound >= least]  # at equal scores the smaller id may still win
-        score = self.matrix[alive] @ q
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
+        else:
+            reach = np.partition(score, least, axis=1)[:, least]
+            alive = score >= reach[:, None]
+        return [np.flatnonzero(x) for x in alive & other]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The exact best k (ids, scores) of each query but its own id; ties go to smaller ids."""
+        d = self.matrix.shape[1]
+        q = np.concatenate((queries, np.zeros((len(queries), max(0, d - queries.shape[1])), queries.dtype)), axis=1)[:, :d]
+        out = []
+        for x, alive in zip(q, self._possible(q, own, k), strict=True):
+            score = self.matrix[alive] @ x
+            best = np.lexsort((self.ids[alive], -score))[:k]
+            out.append((self.ids[alive][best], score[best]))
+        return out
 
 
 def _pack(size: int):
@@ -155,8 +153,7 @@ def _search(k: int):
                     held = (r["v_ids"], ImpactBlock(*_unpack(r["v_ids"], r["v_vectors"], r["v_width"])))
                 q_ids, q = _unpack(r["q_ids"], r["q_vectors"], r["q_width"])
                 query, vec, score = [], [], []
-                for own, x in zip(q_ids.tolist(), q, strict=True):
-                    i, s = held[1].search(x, own, k)
+                for own, (i, s) in zip(q_ids.tolist(), held[1].search(q, q_ids, k), strict=True):
                     query += [own] * len(i)
                     vec += i.tolist()
                     score += s.tolist()

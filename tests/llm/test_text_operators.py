@@ -278,8 +278,10 @@ def test_quality(spark, sf, frame, table):
 
 
 def test_perplexity_equals_a_plain_model(spark, sf):
-    docs = spark.createDataFrame(spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").limit(40).collect())
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").collect()
+    good = [r for r in found if (n := plain_counts(r.text))[0] >= 50 and 2 * n[4] <= n[0] and 100 * n[2] <= quality.SYMBOL_PERCENT * n[1]][:40]
+    docs = spark.createDataFrame([*good, *(r for r in found if plain_counts(r.text)[0] < 50)], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in good}
     p = plain_model(texts.values())
     model = quality.train(docs, Scratch(spark, "test"))
     import pyarrow as pa
