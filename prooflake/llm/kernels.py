@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles at once (one longer text makes a call of its own).
-CALL_BYTES = 2 << 20
+CALL_BYTES = 512 << 10
 U = np.uint64
 _P = 0x9E3779B97F4A7C55  # odd multiplier of the prefix hash
 _P_INV = pow(_P, -1, 1 << 64)

@@ -46,8 +46,9 @@ FILTER_BITS = 24
 #: From the second round on, a column is finished by all pairs across components if so many rows at most lie outside
 #: its largest component; before, some eight of its rows meet all others.
 MINOR = 128
-#: Columns of more rows are taken together by their largest component: they mostly have the same rows.
-LARGE = 64
+#: Columns of more rows are taken together by their largest component, for they mostly have the same rows, and their
+#: product is taken in blocks of about so many rows.
+LARGE, BLOCK = 64, 1024
 ROUNDS = 4
 
 
@@ -188,6 +189,40 @@ def _fetch(n: int, wanted):
     return run
 
 
+def _block_product(percent: int):
+    """Of blocks (x, y) of rows (sig, c, n, pick, keys): pairs of a picked x and a y of another label that share enough.
+
+    The product of the two incidence blocks is taken a picked row at a time: the postings of its columns in the other
+    block are added up, and what lies below the size-derived bound is never a pair.
+    """
+
+    def parts(rows: pa.Array):
+        keys = rows.field("keys")
+        return *(rows.field(f).to_numpy(zero_copy_only=False) for f in ("sig", "c", "n", "pick")), keys.flatten().to_numpy(), np.concatenate(([0], np.cumsum(keys.value_lengths().to_numpy())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for xs, ys in zip(b.column("x"), b.column("y"), strict=True):
+                xsig, xc, xn, pick, xkeys, xoff = parts(xs.values)
+                ysig, yc, yn, _, ykeys, yoff = parts(ys.values)
+                order = np.argsort(ykeys, kind="stable")
+                key, owner = ykeys[order], np.repeat(np.arange(len(ysig)), np.diff(yoff))[order]
+                left, right = [], []
+                for i in np.flatnonzero(pick):
+                    own = xkeys[xoff[i] : xoff[i + 1]]
+                    lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+                    shared = np.bincount(np.concatenate([owner[a:z] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=len(ysig))
+                    big, small = np.maximum(xn[i], yn), np.minimum(xn[i], yn)
+                    need = (percent * (xn[i] + yn) + 99 + percent) // (100 + percent) - ((percent * big + 99) // 100 - 1)
+                    hit = np.flatnonzero((shared >= np.maximum(need, 1)) & (100 * small >= percent * big) & (yc != xc[i]))
+                    left.append(np.minimum(xsig[i], ysig[hit]))
+                    right.append(np.maximum(xsig[i], ysig[hit]))
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,14 +357,21 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: in
         rows = rows.withColumn("scale", F.greatest(F.lit(0), F.floor(F.log2(F.col("rows") / 8))).cast("int"))
         chosen = F.pmod(F.xxhash64("sig", F.lit(turn)), F.expr("shiftleft(1L, scale)")) == 0
         rows = keep.keep(rows.select("key", "sig", "c", "main", (F.col("rows") > LARGE).alias("large"), "scale", finish.alias("finish"), chosen.alias("first")), f"rows-{turn}")
-        # within each column, or, once for all large ones that have the same largest component, within their rows
-        group = F.when(F.col("large"), F.struct(F.col("scale").alias("large"), F.col("main").alias("of"))).otherwise(F.struct(F.lit(-1).alias("large"), F.col("key").alias("of")))
-        first = F.col("first") & ~F.col("finish")
-        met = rows.select(group.alias("g"), "sig", "c", "main", "finish", first.alias("first")).select("g.large", "g.of", "sig", "c", "main", "finish", "first").distinct()
-        one = met.where("finish AND c <> main OR NOT finish AND first").select("large", "of", F.col("sig").alias("sx"), F.col("c").alias("cx"), "finish")
-        two = met.select("large", "of", F.col("sig").alias("sy"), F.col("c").alias("cy"), "main").distinct()
-        pairs = one.join(two, ["large", "of"]).where("cx <> cy AND (NOT finish OR cy = main OR sx < sy)")
-        verify(pairs.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct(), f"turn{turn}")
+        pick = F.when(F.col("finish"), F.col("c") != F.col("main")).otherwise(F.col("first"))
+        # small columns: their rows meet each other
+        few = rows.where("NOT large").withColumn("pick", pick)
+        one = few.where("pick").select("key", F.col("sig").alias("sx"), F.col("c").alias("cx"))
+        two = few.select("key", F.col("sig").alias("sy"), F.col("c").alias("cy"))
+        met = one.join(two, "key").where("cx <> cy").select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
+        # large ones: once for all columns of like size with the same largest component, in blocks
+        of = ["scale", "main", "finish"]
+        many = rows.where("large").withColumn("pick", pick).groupBy(*of, "sig", "c").agg(F.max("pick").alias("pick"))
+        sizes = many.groupBy(*of).agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
+        many = many.join(firsts, "sig").join(classes.select("sig", "n"), "sig").join(sizes, of)
+        blocks = many.groupBy(*of, F.pmod(F.xxhash64("sig"), "blocks").alias("block")).agg(F.collect_list(F.struct("sig", "c", "n", "pick", "keys")).alias("x"))
+        across = blocks.join(blocks.select(*of, F.col("x").alias("y")), of).select("x", "y")
+        pairs = met.union(across.mapInArrow(_block_product(percent), "a long, b long"))
+        verify(pairs.distinct(), f"turn{turn}")
         if not links[-1].isEmpty():
             label = join_labels(f"turn{turn}")
         open_ = rows.where("NOT finish AND NOT first").select("key", "sig")

@@ -31,11 +31,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch at a time.
+BATCH_ROWS = 2000
+
+
 class Scratch:
     """Tables of one query run."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._at_exit)
 

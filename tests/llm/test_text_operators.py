@@ -164,6 +164,7 @@ def test_ngram_join(spark, sf, frame, table, monkeypatch):
     # small bounds: the further rounds run too
     monkeypatch.setattr(ngram_join, "MINOR", 2)
     monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
     monkeypatch.setattr(ngram_join, "FREQUENT", 40)
     expected = near_copies()
     joined = ngram_join.ngram_join(spark, frame(expected))
