@@ -19,9 +19,9 @@ WITH RECURSIVE w AS (
 ), links AS (
   SELECT p, q FROM pairs JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q
   WHERE 100 * common >= 75 * (a.n_shingles + b.n_shingles - common)
-), both AS (SELECT p, q FROM links UNION SELECT q, p FROM links
+), edges AS (SELECT p, q FROM links UNION SELECT q, p FROM links
 ), reach AS (
-  SELECT p, q FROM both UNION SELECT reach.p, both.q FROM reach JOIN both ON reach.q = both.p
+  SELECT p, q FROM edges UNION SELECT reach.p, edges.q FROM reach JOIN edges ON reach.q = edges.p
 )
 SELECT n.doc_id, n_shingles, CAST(least(n.doc_id, coalesce((SELECT min(q) FROM reach WHERE reach.p = n.doc_id), n.doc_id)) AS BIGINT) AS component_id FROM n
 """
