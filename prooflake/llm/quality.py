@@ -1,8 +1,8 @@
 """Quality rules with a character n-gram language model.
 
 Base counts (words, symbols, repeated lines, words in repeated three-word windows) come from each whole text.  The
-model is modified Kneser-Ney over character 4-grams, one per language, counted by Spark over all documents that pass
-the base rules and have few symbols: workers add up the n-grams of their texts, one aggregation joins these sums, and continuation counts, discounts and
+model is modified Kneser-Ney over character 4-grams, one per language, counted by Spark over all documents, those
+that fail the base rules too: workers add up the n-grams of their texts, one aggregation joins these sums, and continuation counts, discounts and
 interpolated probabilities are relational steps over the n-gram table.  For scoring, n-grams are hashed into at most
 2^21 slots an order, kept as sorted arrays that are searched by bisection: their size is bounded whatever the input.
 A document is rejected if a base rule fails or its log-perplexity lies outside its language's band: the quartiles of
@@ -31,7 +31,7 @@ SLOT_BITS = 21
 MIN_WORDS = 50
 #: Base rule: more than half of the words in repeated windows.
 REPEAT_PERCENT = 50
-#: The model learns from texts with so many symbols per 100 characters at most.
+#: Not a rule of the operator: tests pick texts with so many symbols per 100 characters at most.
 SYMBOL_PERCENT = 1
 #: The band reaches so many quartile distances beyond the quartiles, and so much log-perplexity at least: further up
 #: than down, for a passage in another language makes no text bad.
@@ -113,11 +113,6 @@ def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield name, np.sort(rows)
 
 
-def trusted(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Rows whose n-grams the model counts: they pass the base rules and have few symbols."""
-    return ~base_failed(c) & (100 * c["n_symbols"] <= SYMBOL_PERCENT * c["word_chars"])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[pd.Series]] = {}
     size = 0
@@ -134,8 +129,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, rows in _languages(batch):
             for _, _, data, offsets in K.calls(batch.column("text").take(pa.array(rows))):
-                key, bounds = grams(data, offsets)
-                key = key[np.repeat(trusted(base_counts(data, offsets)), np.diff(bounds))]
+                key, _ = grams(data, offsets)
                 code, uniq = pd.factorize(key)
                 if len(uniq):
                     held.setdefault(lang, []).append(pd.Series(np.bincount(code), index=uniq))

@@ -312,6 +312,12 @@ def test_bands_reject_odd_texts_and_keep_the_others(spark, frame):
     assert {r.doc_id for r in q.filter(frame(docs + noise)).collect()} == kept
 
 
+def test_the_model_counts_all_documents(frame):
+    rows = [(0, None), (1, ""), (2, "a short text"), (3, "# * < > words " * 40), (4, "same words " * 60), (5, " ".join(f"word{i}" for i in range(80)))]
+    counted = frame(rows).select("lang", "text").mapInArrow(quality._count, "lang string, key long, n long").collect()
+    assert sum(r.n for r in counted) == sum(len(t or "") for _, t in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_prefix_follows_the_order(n):
     g = np.arange(0, 1000, 10, dtype=np.uint64)
