@@ -3,8 +3,8 @@
 Base counts (words, symbols, repeated lines, words in repeated three-word windows) come from each whole text.  The
 model is modified Kneser-Ney over character 4-grams, one per language, counted by Spark over all documents, those
 that fail the base rules too: workers add up the n-grams of their texts, one aggregation joins these sums, and continuation counts, discounts and
-interpolated probabilities are relational steps over the n-gram table.  For scoring, n-grams are hashed into at most
-2^21 slots an order, kept as sorted arrays that are searched by bisection: their size is bounded whatever the input.
+interpolated probabilities are relational steps over the n-gram table.  For scoring, the exact 64-bit
+n-grams are kept by language as sorted arrays that are searched by bisection: they grow with the distinct n-grams.
 A document is rejected if a base rule fails or its log-perplexity lies outside its language's band: the quartiles of
 all documents of the language that pass the base rules, widened by multiples of their distance.
 
@@ -27,7 +27,6 @@ from . import kernels as K
 from .scratch import Scratch
 
 ORDER = 4
-SLOT_BITS = 21
 MIN_WORDS = 50
 #: Base rule: more than half of the words in repeated windows.
 REPEAT_PERCENT = 50
@@ -183,64 +182,44 @@ def kneser_ney(counts: DataFrame, keep: Scratch) -> list[DataFrame]:
     return done
 
 
-def _lang_seed(lang: str) -> np.uint64:
-    raw = np.frombuffer(lang.encode() or b"\x01", np.uint8)
-    return K.slice_hash(raw, np.array([0]), np.array([len(raw)]))[0]
-
-
-def slots(key: np.ndarray, lang: str, order: int) -> np.ndarray:
-    return (K.mix((key.view(K.U) ^ _lang_seed(lang)) * K.U(2 * order + 1) + K.U(order)) >> K.U(64 - SLOT_BITS)).astype(np.int32)
-
-
-def _slotted(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang = pd.Series(b.column("lang").to_pandas())
-            key, out = b.column("key").to_numpy(), np.zeros(b.num_rows, np.int32)
-            for name, rows in lang.groupby(lang).indices.items():
-                out[rows] = slots(key[rows], name, order)
-            yield pa.RecordBatch.from_arrays([pa.array(out), b.column("n"), b.column("v")], names=["slot", "n", "v"])
-
-    return run
-
-
-def _arrays(table: DataFrame, order: int, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and the log of ``value``, of the most frequent n-gram of each slot: at most 2^SLOT_BITS rows."""
-    rows = table.select("lang", "key", "n", F.log(value).alias("v")).mapInArrow(_slotted(order), "slot int, n long, v double")
-    t = rows.groupBy("slot").agg(F.max(F.struct("n", "v")).alias("x")).select("slot", F.col("x.v").cast("float").alias("v")).toArrow()
-    slot, v = t.column("slot").to_numpy(), t.column("v").to_numpy()
-    by = np.argsort(slot)
-    return slot[by], v[by]
+def _arrays(table: DataFrame, value: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language the sorted keys of ``table`` and the log of ``value``: all its rows, 12 bytes each."""
+    t = table.select("lang", "key", F.log(value).cast("float").alias("v")).toArrow()
+    code, langs = pd.factorize(t.column("lang").to_pandas())
+    key, v = t.column("key").to_numpy(), t.column("v").to_numpy()
+    by = np.lexsort((key, code))
+    at = np.searchsorted(code[by], np.arange(len(langs) + 1))
+    return {lang: (key[by[lo:hi]], v[by[lo:hi]]) for lang, lo, hi in zip(langs, at[:-1], at[1:])}
 
 
 class Model:
-    """Per order sorted slots with log p, and per order above 1 sorted slots of contexts with log gamma."""
+    """Per order and language sorted n-grams with log p, and per order above 1 sorted contexts with log gamma."""
 
-    def __init__(self, p: list[tuple[np.ndarray, np.ndarray]], gamma: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, p: list[dict[str, tuple[np.ndarray, np.ndarray]]], gamma: list[dict[str, tuple[np.ndarray, np.ndarray]]]):
         self.p, self.gamma = p, gamma
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(table: tuple[np.ndarray, np.ndarray] | None, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if table is None:
+            return np.zeros(len(key), bool), np.zeros(len(key))
         keys, values = table
-        if not len(keys):
-            return np.zeros(len(slot), bool), np.zeros(len(slot))
-        at = np.searchsorted(keys, slot)
+        at = np.searchsorted(keys, key)
         at[at == len(keys)] = 0
-        return keys[at] == slot, values[at].astype(np.float64)
+        return keys[at] == key, values[at].astype(np.float64)
 
     def log_p(self, key: np.ndarray, lang: str) -> np.ndarray:
         """log p of the last character of each 4-gram, backing off where the model doesn't hold an n-gram."""
         out, todo = np.zeros(len(key)), np.arange(len(key))
         for order in range(ORDER, 0, -1):
             own = key[todo] & np.int64(-1 if order == ORDER else (1 << 16 * order) - 1)
-            hit, v = self._find(self.p[order - 1], slots(own, lang, order))
+            hit, v = self._find(self.p[order - 1].get(lang), own)
             out[todo[hit]] += v[hit]
             todo = todo[~hit]
             if not len(todo):
                 return out
             if order > 1:
                 ctx = (own[~hit].view(K.U) >> K.U(16)).view(np.int64)
-                known, g = self._find(self.gamma[order - 1], slots(ctx, lang, order + 100))
+                known, g = self._find(self.gamma[order - 1].get(lang), ctx)
                 out[todo] += np.where(known, g, 0)
         out[todo] += np.log(1 / 0x110000)
         return out
@@ -259,10 +238,10 @@ def train(docs: DataFrame, keep: Scratch) -> Model:
     counts = keep.keep(counted.groupBy("lang", "key").agg(F.sum("n").alias("c")), "counts4")
     tables = kneser_ney(counts, keep)
     often = [t if k == 1 else t.where(F.col("n") > PRUNE) for k, t in enumerate(tables, 1)]
-    p = [_arrays(t.select("lang", "key", "n", "p"), k, "p") for k, t in enumerate(often, 1)]
+    p = [_arrays(t, "p") for t in often]
     # what the n-grams that stay leave to the lower order, over what that order gives the others
-    rest = [t.groupBy("lang", F.col("ctx").alias("key")).agg(F.sum("n").alias("n"), (F.greatest(1 - F.sum("p"), F.lit(1e-6)) / F.greatest(1 - F.sum("q"), F.lit(1e-6))).alias("gamma")) for t in often]
-    gamma = [(np.zeros(0, np.int32), np.zeros(0, np.float32))] + [_arrays(t, k + 100, "gamma") for k, t in enumerate(rest[1:], 2)]
+    rest = [t.groupBy("lang", F.col("ctx").alias("key")).agg((F.greatest(1 - F.sum("p"), F.lit(1e-6)) / F.greatest(1 - F.sum("q"), F.lit(1e-6))).alias("gamma")) for t in often[1:]]
+    gamma = [{}] + [_arrays(t, "gamma") for t in rest]
     return Model(p, gamma)
 
 
@@ -313,7 +292,7 @@ class Quality:
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.keep = Scratch(spark, "quality")
-        self.model = spark.sparkContext.broadcast(train(docs, self.keep))  # bounded: 2^SLOT_BITS slots an order
+        self.model = spark.sparkContext.broadcast(train(docs, self.keep))  # 12 bytes an n-gram that is kept
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
         self.measured = self.keep.keep(source.mapInArrow(_measured(self.model), _MEASURED), "measured")
         self.bands = self.keep.keep(bands(self.measured), "bands")

@@ -318,6 +318,21 @@ def test_the_model_counts_all_documents(frame):
     assert sum(r.n for r in counted) == sum(len(t or "") for _, t in rows)
 
 
+def test_each_ngram_has_its_own_probability(spark, frame):
+    import pyarrow as pa
+
+    from prooflake.llm import kernels as K
+
+    text = "".join(np.random.default_rng(8).choice(list("abcdefghijklmnopqrstuvwxyz0123456789 "), 60_000))
+    docs = [text] * 3  # each n-gram is seen more than PRUNE times
+    model, p = quality.train(frame(list(enumerate(docs))), Scratch(spark, "test")), plain_model(docs)
+    key, _ = quality.grams(*K.text_buffers(pa.array([text])))
+    u = [-1] * 3 + list(text)
+    want = np.array([p(tuple(u[i : i + 4])) for i in range(len(text))])
+    assert np.abs(model.log_p(key, "en") - want).max() < 1e-4
+    assert (model.log_p(key, "unseen") == np.log(1 / 0x110000)).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_prefix_follows_the_order(n):
     g = np.arange(0, 1000, 10, dtype=np.uint64)
