@@ -9,7 +9,7 @@ A document is rejected if a base rule fails or its log-perplexity lies outside i
 all documents of the language that pass the base rules, widened by multiples of their distance.
 
 Defined cases: null and blank texts have no words and fail the base rules; a null language is a language of its own;
-languages with fewer than ``BAND_MIN`` passing documents have no band; repeated rows count as often as they occur; an
+languages with fewer than ``BAND_MIN`` passing documents share one band; repeated rows count as often as they occur; an
 empty table gives no rows; further columns of the input are ignored by the query and kept by the filter.
 """
 
@@ -32,9 +32,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: Not a rule of the operator: tests pick texts with so many symbols per 100 characters at most.
 SYMBOL_PERCENT = 1
-#: The band reaches so many quartile distances beyond the quartiles, and so much log-perplexity at least: further up
-#: than down, for a passage in another language makes no text bad.
-BAND_REACH, BAND_DOWN, BAND_UP, BAND_MIN = 4.0, 0.5, 1.4, 20
+#: The band reaches so many quartile distances beyond the quartiles; languages with fewer documents share one band.
+BAND_REACH, BAND_MIN = 4.0, 20
 #: Up to so many languages, what is kept of each is sent to all tasks.
 FEW_LANGUAGES = 10_000
 BIN = 0.005
@@ -274,17 +273,29 @@ _MEASURED = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """(lang, lo, hi): log-perplexity band of each language, from a histogram of all documents that pass the base rules."""
-    bins = measured.where("NOT base_failed").groupBy("lang", F.floor(F.col("log_ppl") / F.lit(BIN)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-
-    def quantile(q: float):
-        return F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), (F.col("bin") + 0.5) * BIN))
+    """(lang, lo, hi): log-perplexity band of each language, from a histogram of all documents that pass the base rules.
 
-    q = bins.groupBy("lang").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.first("all").alias("all")).where(F.col("all") >= BAND_MIN)
+    Languages with fewer than BAND_MIN such documents share the row with a null lang: their quartiles together, shrunk
+    towards those of all documents.
+    """
+    bins = measured.where("NOT base_failed").groupBy("lang", F.floor(F.col("log_ppl") / F.lit(BIN)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    large = F.sum("n").over(Window.partitionBy("lang")) >= BAND_MIN
+    own = F.struct(F.when(large, F.lit("own")).otherwise(F.lit("small")).alias("kind"), F.when(large, F.col("lang")).alias("lang"))
+    every = F.struct(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("lang"))
+    bins = bins.select("bin", "n", own.alias("own")).select("bin", "n", F.explode(F.array("own", every)).alias("of")).groupBy("of", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("of")
+    bins = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
+
+    def quantile(q: float, edge: int):
+        return F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), (F.col("bin") + edge) * BIN))
+
+    # outer edges of the quartiles' bins: documents that all measure the same lie inside
+    q = bins.groupBy("of").agg(quantile(0.25, 0).alias("q1"), quantile(0.75, 1).alias("q3"), F.first("all").alias("n")).select("of.kind", "of.lang", "q1", "q3", "n")
+    pooled = q.where("kind = 'all'").select(F.col("q1").alias("a1"), F.col("q3").alias("a3"))
+    share = F.when(F.col("kind") == "small", F.col("n") / (F.col("n") + BAND_MIN)).otherwise(F.lit(1.0))
+    q = q.where("kind <> 'all'").crossJoin(F.broadcast(pooled)).select("lang", *((share * F.col(x) + (1 - share) * F.col(y)).alias(x) for x, y in (("q1", "a1"), ("q3", "a3"))))
     wide = F.lit(BAND_REACH) * (F.col("q3") - F.col("q1"))
-    return q.select("lang", (F.col("q1") - F.greatest(F.lit(BAND_DOWN), wide)).alias("lo"), (F.col("q3") + F.greatest(F.lit(BAND_UP), wide)).alias("hi"))
+    return q.select("lang", (F.col("q1") - wide).alias("lo"), (F.col("q3") + wide).alias("hi"))
 
 
 class Quality:
@@ -298,18 +309,20 @@ class Quality:
         self.bands = self.keep.keep(bands(self.measured), "bands")
 
     def verdicts(self) -> DataFrame:
-        inside = F.coalesce(F.col("log_ppl").between(F.col("lo"), F.col("hi")), F.lit(True))
-        return self.measured.join(self.bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+        small = self.bands.where("lang IS NULL").select(F.col("lo").alias("small_lo"), F.col("hi").alias("small_hi"))  # one row at most
+        inside = F.coalesce(F.col("log_ppl").between(F.coalesce("lo", "small_lo"), F.coalesce("hi", "small_hi")), F.lit(True))
+        judged = self.measured.join(self.bands, "lang", "left").join(F.broadcast(small), F.lit(True), "left")
+        return judged.withColumn("kept", ~F.col("base_failed") & inside)
 
     def filter(self, docs: DataFrame) -> DataFrame:
         """The documents that are kept, with all their columns; texts aren't shuffled."""
-        band = {r.lang: (r.lo, r.hi) for r in self.bands.collect()}  # one row a language
-        model = self.model
+        band = {r.lang: (r.lo, r.hi) for r in self.bands.collect()}  # one row a language with BAND_MIN documents
+        model, small = self.model, band.get(None, (-np.inf, np.inf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m = _measure(b, model.value)
-                lim = [band.get(x, (-np.inf, np.inf)) for x in b.column("lang").fill_null(NO_LANG).to_pylist()]
+                lim = [band.get(x, small) for x in b.column("lang").fill_null(NO_LANG).to_pylist()]
                 lim = np.array(lim, float).reshape(-1, 2)
                 ok = ~base_failed(m) & (m["log_ppl"] >= lim[:, 0]) & (m["log_ppl"] <= lim[:, 1])
                 yield b.filter(pa.array(ok))

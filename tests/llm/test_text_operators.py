@@ -333,6 +333,20 @@ def test_each_ngram_has_its_own_probability(spark, frame):
     assert (model.log_p(key, "unseen") == np.log(1 / 0x110000)).all()
 
 
+def test_bands_follow_the_spread_and_judge_small_languages(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "en", float(x), False) for i, x in enumerate(rng.normal(1.5, 0.02, 1000))]
+    rows += [(2000 + i, "same", 1.7, False) for i in range(30)]  # no spread at all
+    rows += [(3000, "xx", 1.5, False), (3001, quality.NO_LANG, 1.52, False), (3002, "yy", 4.0, False), (3003, "zz", 9.0, True)]
+    band = {r.lang: (r.lo, r.hi) for r in quality.bands(spark.createDataFrame(rows, "doc_id long, lang string, log_ppl double, base_failed boolean")).collect()}
+    assert set(band) == {"en", "same", None}
+    lo, hi = band["en"]
+    assert 1.3 < lo < 1.4 and 1.6 < hi < 1.7  # four quartile distances of 0.027
+    assert band["same"][0] <= 1.7 <= band["same"][1]
+    lo, hi = band[None]
+    assert lo < 1.5 < 1.52 < hi < 4.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_prefix_follows_the_order(n):
     g = np.arange(0, 1000, 10, dtype=np.uint64)
