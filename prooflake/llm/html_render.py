@@ -11,21 +11,21 @@ that a browser wouldn't show; the renderer lays out blocks, lists and tables:
 
 Everything that is visible is emitted: navigation and advertisements too.  Defined cases: null and empty html give an
 empty text; broken markup is read as far as it goes (an unclosed tag at the end is text); repeated rows are rows of
-their own; an empty table gives no rows; further columns of the input are ignored; pages are never cut; nesting deeper
-than ``DEEPEST`` is flattened.
+their own; an empty table gives no rows; further columns of the input are ignored; pages are never cut, and
+nesting may have any depth.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEEPEST = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area".split())
@@ -146,7 +146,7 @@ def _start(stack: list[Node], tag: str, attrs: dict[str, str]) -> None:
         parent = row
     node = Node(tag, attrs)
     parent.children.append(node)
-    if tag not in VOID and len(stack) < DEEPEST:
+    if tag not in VOID:
         stack.append(node)
 
 
@@ -313,7 +313,16 @@ def _element(node: Node, out: Lines, depth: int) -> None:
 
 
 def _raw(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c) if visible(c) else "" for c in node.children)
+    out, todo = [], node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        elif visible(c):
+            todo += c.children[::-1]
+    return "".join(out)
 
 
 def _list(node: Node, out: Lines, depth: int) -> None:
@@ -408,6 +417,8 @@ def _table(node: Node, out: Lines, depth: int) -> None:
 
 def render(source: str) -> str:
     """All visible text of a page, laid out."""
+    # at most two elements a tag and four calls a level; they take no C stack
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * source.count("<") + 1000))
     out = Lines()
     _lay(build(source), out, 0)
     return "\n".join(out.done())

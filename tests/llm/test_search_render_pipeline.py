@@ -178,3 +178,13 @@ def test_run(spark, sf):
 def test_pipeline_of_nothing(spark, tmp_path, sf):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["div", "font", "b", "blockquote", "ul><li", "table><tr><td"])
+@pytest.mark.parametrize("closed", [True, False])
+def test_pages_of_any_depth(tag, closed):
+    n, ends = 1000, "".join(f"</{t}>" for t in reversed(tag.split("><")))
+    inner = "<script>code()</script><style>css</style><p hidden>no <b>no</b></p><template>no</template><pre>a<i>b</i></pre>word"
+    page = f"<div style='display:none'>{f'<{tag}>' * n}hidden{ends * n}hidden</div>" if closed else ""
+    page += f"<{tag}>" * n + inner + (ends * n + "<p>end" if closed else "")
+    assert html_render.render(page).replace("- ", "").split() == ["ab", "word"] + ["end"] * closed
