@@ -6,13 +6,17 @@ n - ceil(t n) + 1 columns of each, so only these entries are multiplied.  A surv
 columns (any shingle that repeats among the sets of one slice counts); the most frequent ones, a bounded table, go to
 the end of the order, which affects cost and never the result.
 
-The product is taken by columns.  A column of k rows isn't expanded to k^2 pairs: its first row is paired with the
-others.  Pairs outside the size bound are discarded; so are pairs whose shared columns among their first ones are too
-few: what lies beyond can't make up for them.  The rest are verified on their whole sets, the partner with the most
-shared columns first.  Rows of one component need no further
-pair, so a group of copies costs about a pair a member.  Columns whose other rows lie in several components go on:
-all pairs across components where these are few, else further first rows.  At the end every column has had each pair
-across components verified, hence the components are exact.
+The product is taken by columns: a task takes the columns that it was dealt, a block at a time, and adds up how many
+of them each pair of rows shares; pairs outside the size bound are never counted.  The tasks' counts are summed, and
+pairs whose shared first columns are too few are discarded: what lies beyond can't make up for them.  What is left is
+verified on the whole sets, each row's partner with the most shared columns first, the other pairs only if that didn't
+connect them.  The sets of the rows concerned are read once.
+
+A column of k > LARGE rows isn't expanded to k^2 pairs.  Its rows are paired with its first row; where they still lie
+in several components after that, rows of all columns of like size are taken together, and picked rows (some eight of
+a column, then all that lie outside its largest component) meet all others in blocks of bounded size.  This product is
+over whole sets, so its counts decide; of its links a block emits only those that join components.  At the end every
+pair of rows that could be a link either was verified or has both rows in one component, hence components are exact.
 
 Shingles are 64-bit hashes of lower-cased words; sets are told apart by a 64-bit hash of their sorted shingles.
 
@@ -21,8 +25,10 @@ fewer than n words have one shingle, the whole sequence; repeated rows give a ro
 and has a null component; an empty table gives no rows; further columns of the input are ignored.
 """
 
+
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,18 +44,21 @@ from .scratch import Scratch
 WORDS = 5
 PERCENT = 75
 #: Shingles that one survey slice compares.
-SLICE = 3_000_000
+SLICE = 2_000_000
 #: Frequent columns that are moved to the end of the order, and how often one must be seen for that.
 FREQUENT, SEEN = 1 << 20, 3
-#: Bits of the filter that tells which texts to read again: 2 MB, whatever the input.
-FILTER_BITS = 24
-#: From the second round on, a column is finished by all pairs across components if so many rows at most lie outside
-#: its largest component; before, some eight of its rows meet all others.
+#: Bits of the filter that tells which texts to read again: 16 a wanted row, up to 2^27 (16 MB).
+FILTER_BITS = (16, 27)
+#: Columns of more rows aren't expanded to all pairs.
+LARGE = 128
+#: Blocks of the product over whole sets: about so many rows and shingles.
+BLOCK, ELEMENTS = 1024, 400_000
+#: A large column is finished by pairing the rows outside its largest component with all others if they are so many at
+#: most, or in the last round; before, some eight of its rows meet all others.
 MINOR = 128
-#: Columns of more rows are taken together by their largest component, for they mostly have the same rows, and their
-#: product is taken in blocks of about so many rows.
-LARGE, BLOCK = 64, 1024
 ROUNDS = 4
+#: Pairs that a task holds before it adds them up, and bytes of sets in one record batch.
+HELD, BATCH_BYTES = 1 << 20, 4 << 20
 
 
 def set_hash(g: np.ndarray) -> int:
@@ -101,7 +110,7 @@ def _survey(n: int):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), none, none], schema=schema)
         yield repeats(held)
 
-    return run
+    return K.lean(run)
 
 
 def prefix(g: np.ndarray, keys: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
@@ -120,107 +129,176 @@ def prefix(g: np.ndarray, keys: np.ndarray, place: np.ndarray, percent: int) ->
 
 
 def _entries(n: int, percent: int, frequent):
-    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, place = frequent.value
         done: set[int] = set()
         for batch in batches:
             known = batch.column("doc_id").is_valid().to_pylist()
-            cols, sigs, size = [], [], []
+            cols, sigs, sizes, size = [], [], [], []
             for i, g in _sets(batch, n):
                 if not len(g) or not known[i] or (s := set_hash(g)) in done:
                     continue
                 done.add(s)
                 cols.append(prefix(g, keys, place, percent))
                 sigs.append(s)
+                sizes.append(len(g))
                 size.append(len(cols[-1]))
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), size))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), size)), pa.array(np.repeat(np.array(sizes, np.int32), size))], schema=schema)
 
-    return run
+    return K.lean(run)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by (key, sig): every further row of a column with the column's first row."""
-    key, lead, last = None, 0, 0
-    for b in batches:
-        k, s = b.column("key").to_numpy(), b.column("sig").to_numpy()
-        if not len(k):
-            continue
-        new = np.empty(len(k), bool)
-        new[0] = key is None or k[0] != key
-        new[1:] = k[1:] != k[:-1]
-        same = np.empty(len(k), bool)
-        same[0] = not new[0] and s[0] == last
-        same[1:] = ~new[1:] & (s[1:] == s[:-1])
-        leads = np.concatenate(([lead], s[new]))[np.cumsum(new)]
-        key, lead, last = k[-1], leads[-1], s[-1]
-        out = ~new & ~same
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(leads[out]), pa.array(s[out])], names=["key", "lead", "sig"])
+#: Rows of the product by columns: counts of a pair (a, b), a pair of a large column's first row, a large column's row.
+COUNT, STAR, ROW = 0, 1, 2
+_PRODUCT = "kind int, key long, a long, b long, na int, nb int, n int"
 
 
-def _spot(ids: np.ndarray) -> np.ndarray:
-    return (K.mix(ids.view(K.U)) >> K.U(64 - FILTER_BITS)).astype(np.int64)
+class PairCounts:
+    """How many columns pairs of rows (a, b) share, of the pairs within the size bound."""
 
+    def __init__(self, percent: int, kind: int):
+        self.percent, self.kind, self.parts, self.held = percent, kind, [], 0
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    for b in batches:
-        seen[_spot(b.column("doc_id").to_numpy())] = True
-    words = np.packbits(seen, bitorder="little").view(np.int64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+    def add(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> None:
+        near = 100 * np.minimum(na, nb).astype(np.int64) >= self.percent * np.maximum(na, nb).astype(np.int64)
+        if near.any():
+            self.parts.append((a[near], b[near], na[near], nb[near], np.ones(int(near.sum()), np.int32)))
+            self.held += len(self.parts[-1][0])
 
+    def full(self) -> bool:
+        """Adds up what is held; true if it should be emitted."""
+        if self.held > HELD:
+            self._sum()
+        return self.held > HELD // 2
 
-def _fetch(n: int, wanted):
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("grams", pa.binary())])
+    def _sum(self) -> None:
+        if self.parts:
+            a, b, na, nb, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            by = np.lexsort((b, a))
+            a, b = a[by], b[by]
+            at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            self.parts = [(a[at], b[at], na[by][at], nb[by][at], np.add.reduceat(n[by], at))]
+            self.held = len(at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little").view(bool)
-        for batch in batches:
-            ids = batch.column("doc_id")
-            rows = np.flatnonzero(bits[_spot(ids.fill_null(0).to_numpy())])
-            out = [(ids[i].as_py(), set_hash(g), g.tobytes()) for i, g in _sets(batch, n, rows) if len(g)]
-            for lo in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 2000], strict=True), schema.types, strict=True)], schema=schema)
+    def take(self) -> Iterator[pa.RecordBatch]:
+        self._sum()
+        for a, b, na, nb, n in self.parts:
+            yield _rows(self.kind, np.zeros(len(a), np.int64), a, b, na, nb, n)
+        self.parts, self.held = [], 0
 
-    return run
 
+def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    cols = [np.full(len(a), kind, np.int32), key, a, b, na, nb, n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "key", "a", "b", "na", "nb", "n"])
 
-def _block_product(percent: int):
-    """Of blocks (x, y) of rows (sig, c, n, pick, keys): pairs of a picked x and a y of another label that share enough.
 
-    The product of the two incidence blocks is taken a picked row at a time: the postings of its columns in the other
-    block are added up, and what lies below the size-derived bound is never a pair.
-    """
+def _columns(percent: int, large: int):
+    """The product by columns, from entries sorted by (key, sig); a task holds a bounded part of a column at a time."""
 
-    def parts(rows: pa.Array):
-        keys = rows.field("keys")
-        return *(rows.field(f).to_numpy(zero_copy_only=False) for f in ("sig", "c", "n", "pick")), keys.flatten().to_numpy(), np.concatenate(([0], np.cumsum(keys.value_lengths().to_numpy())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, stars = PairCounts(percent, COUNT), PairCounts(percent, STAR)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        rest = none  # the rows so far of the last column
+        wide: tuple | None = None  # (key, first row, its size, last row) of a large column that goes on
+
+        def of_wide(k, s, n) -> pa.RecordBatch:
+            stars.add(np.full(len(s), wide[1]), s, np.full(len(s), wide[2], np.int32), n)
+            return _rows(ROW, k, s, s, n, n, np.zeros(len(s)))
+
+        def expand(k, s, n, at, size) -> Iterator[pa.RecordBatch]:
+            """All pairs of the columns that start at ``at`` and have at most ``large`` rows."""
+            for m in np.unique(size[(size > 1) & (size <= large)]).tolist():
+                x, y = np.triu_indices(m, 1)
+                own = at[size == m]
+                step = max(1, HELD // len(x))
+                for lo in range(0, len(own), step):
+                    i = own[lo : lo + step, None]
+                    i, j = (i + x).ravel(), (i + y).ravel()
+                    counts.add(s[i], s[j], n[i], n[j])
+                    if counts.full():
+                        yield from counts.take()
 
+        for b in batches:
+            k, s, n = (np.concatenate((r, b.column(c).to_numpy())) for r, c in zip(rest, ("key", "sig", "n"), strict=True))
+            fresh = np.ones(len(k), bool)  # copies of a set that several tasks read are one row
+            fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+            if wide and len(k):
+                fresh[0] = (k[0], s[0]) != (wide[0], wide[3])
+            k, s, n = k[fresh], s[fresh], n[fresh]
+            if wide:
+                end = int(np.searchsorted(k, wide[0], "right"))
+                if end:
+                    yield of_wide(k[:end], s[:end], n[:end])
+                    wide = (*wide[:3], s[end - 1])
+                    k, s, n = k[end:], s[end:], n[end:]
+                if len(k):
+                    wide = None
+            rest = none
+            if not len(k):
+                continue
+            at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            size = np.diff(np.append(at, len(k)))
+            for i in at[size > large].tolist():
+                wide = (k[i], s[i], n[i], 0)
+                end = int(np.searchsorted(k, k[i], "right"))
+                yield _rows(ROW, k[i : i + 1], s[i : i + 1], s[i : i + 1], n[i : i + 1], n[i : i + 1], np.zeros(1))
+                yield of_wide(k[i + 1 : end], s[i + 1 : end], n[i + 1 : end])
+                wide = (*wide[:3], s[end - 1]) if end == len(k) else None
+            if not wide:
+                rest = k[at[-1] :], s[at[-1] :], n[at[-1] :]
+                at, size = at[:-1], size[:-1]
+            yield from expand(k, s, n, at, size)
+            if stars.full():
+                yield from stars.take()
+        k, s, n = rest
+        yield from expand(k, s, n, np.zeros(1, np.int64), np.array([len(k)]))
+        yield from counts.take()
+        yield from stars.take()
+
+    return K.lean(run)
+
+
+def _spot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(ids.view(K.U)) >> K.U(64 - bits)).astype(np.int64)
+
+
+def _filter_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
         for b in batches:
-            for xs, ys in zip(b.column("x"), b.column("y"), strict=True):
-                xsig, xc, xn, pick, xkeys, xoff = parts(xs.values)
-                ysig, yc, yn, _, ykeys, yoff = parts(ys.values)
-                order = np.argsort(ykeys, kind="stable")
-                key, owner = ykeys[order], np.repeat(np.arange(len(ysig)), np.diff(yoff))[order]
-                left, right = [], []
-                for i in np.flatnonzero(pick):
-                    own = xkeys[xoff[i] : xoff[i + 1]]
-                    lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
-                    shared = np.bincount(np.concatenate([owner[a:z] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=len(ysig))
-                    big, small = np.maximum(xn[i], yn), np.minimum(xn[i], yn)
-                    need = (percent * (xn[i] + yn) + 99 + percent) // (100 + percent) - ((percent * big + 99) // 100 - 1)
-                    hit = np.flatnonzero((shared >= np.maximum(need, 1)) & (100 * small >= percent * big) & (yc != xc[i]))
-                    left.append(np.minimum(xsig[i], ysig[hit]))
-                    right.append(np.maximum(xsig[i], ysig[hit]))
-                if left:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    return run
+            seen[_spot(b.column("doc_id").to_numpy(), bits)] = True
+        words = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        for lo in range(0, len(at), HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + HELD]), pa.array(words[at[lo : lo + HELD]])], names=["at", "word"])
+
+    return K.lean(run)
+
+
+def _fetch(n: int, wanted, bits: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = wanted.value.view(np.uint8)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            spot = _spot(ids.fill_null(0).to_numpy(), bits)
+            rows = np.flatnonzero((words[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
+            out, held = [], 0
+            for i, g in _sets(batch, n, rows):
+                if len(g):
+                    out.append((ids[i].as_py(), set_hash(g), g.tobytes()))
+                    held += 8 * len(g)
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return K.lean(run)
 
 
 def _linked(percent: int):
@@ -235,154 +313,188 @@ def _linked(percent: int):
                 ok[i] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return run
+    return K.lean(run)
+
+
+def _parts(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sig, component, shingles one after another and their bounds, of a block of rows (sig, c, grams)."""
+    sets = [np.frombuffer(g.as_buffer(), K.U) for g in rows.field("grams")]
+    return rows.field("sig").to_numpy(), rows.field("c").to_numpy().copy(), np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
+def _block_product(percent: int):
+    """Of blocks (x, y) of rows (sig, c, grams): links (a, b, ca, cb) between components, one for each that they join.
+
+    The product of the two incidence blocks is taken a row of x at a time: the postings of its columns in the other
+    block are added up, and what lies below the size-derived bounds is never a pair.
+    """
+
+    def links(xs, ys) -> Iterator[tuple[int, int, int, int]]:
+        xsig, xc, xkeys, xoff = _parts(xs)
+        ysig, yc, ykeys, yoff = _parts(ys)
+        n = np.diff(yoff)
+        by = np.argsort(ykeys, kind="stable")
+        key, owner = ykeys[by], np.repeat(np.arange(len(ysig)), n)[by]
+        first_x, first_y = xc.copy(), yc.copy()
+        for i in range(len(xsig)):
+            own = xkeys[xoff[i] : xoff[i + 1]]
+            lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            count = hi - lo
+            upto = np.cumsum(count)
+            shared = np.bincount(owner[np.repeat(lo - (upto - count), count) + np.arange(upto[-1])], minlength=len(ysig))
+            small, big = np.minimum(n, len(own)), np.maximum(n, len(own))
+            hit = (100 * small >= percent * big) & (100 * shared >= percent * (n + len(own) - shared)) & (yc != xc[i])
+            while hit.any():
+                j = int(np.argmax(hit))
+                yield int(xsig[i]), int(ysig[j]), int(first_x[i]), int(first_y[j])
+                joined, into = yc[j], xc[i]
+                yc[yc == joined] = into
+                xc[xc == joined] = into
+                hit &= yc != into
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for xs, ys in zip(b.column("x"), b.column("y"), strict=True):
+                if found := list(links(xs.values, ys.values)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "ca", "cb"])
+
+    return K.lean(run)
 
 
 @dataclass
 class Joined:
-    """documents: doc_id, n_shingles, set_id, component_id.  links: verified pairs of set representatives."""
+    """documents: doc_id, n_shingles, set_id, component_id.  links: verified pairs that connect set representatives."""
 
     documents: DataFrame
     links: DataFrame
 
 
+def _jumped(up: DataFrame, times: int) -> DataFrame:
+    """Follow (node, component) pointers, 2^times steps in all."""
+    for _ in range(times):
+        up = up.join(up.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return up
+
+
+def _relabel(df: DataFrame, label: DataFrame, column: str, as_: str) -> DataFrame:
+    """Add the label of a set; a set without links is its own."""
+    known = label.select(F.col("node").alias(column), F.col("component").alias("__c"))
+    return df.join(known, column, "left").withColumn(as_, F.coalesce("__c", column)).drop("__c")
+
+
+def _moved(label: DataFrame, ends: DataFrame, up: DataFrame) -> DataFrame:
+    """``label`` with the ends (a, b, ca, cb) of further links, and components replaced as ``up`` says."""
+    nodes = label.union(ends.select(F.col("a").alias("node"), F.col("ca").alias("component"))).union(ends.select("b", "cb")).distinct()
+    top = up.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    return nodes.join(top, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+
+
+def _sets_of(docs: DataFrame, need: DataFrame, n: int, keep: Scratch) -> DataFrame:
+    """(sig, grams) of the rows (doc_id, sig) in ``need``, from one pass over the texts."""
+    spark = keep.spark
+    bits = min(max(FILTER_BITS[0], (16 * need.count()).bit_length()), FILTER_BITS[1])
+    words = need.mapInArrow(_filter_words(bits), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    of = np.zeros((1 << bits) // 64, np.int64)
+    of[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    wanted = spark.sparkContext.broadcast(of)
+    sets = docs.mapInArrow(_fetch(n, wanted, bits), "doc_id long, sig long, grams binary").join(need, ["doc_id", "sig"]).select("sig", "grams")
+    sets = keep.keep(sets, "sets")
+    wanted.destroy()
+    return sets
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Joined:
     """Components of the documents whose n-gram sets have a Jaccard similarity of at least ``percent`` / 100."""
     keep = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = keep.keep(docs.mapInArrow(_survey(n), "doc_id long, n long, sig long, key long, seen long"), "survey")
+    top = survey.where("key IS NOT NULL").groupBy("key").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= SEEN).orderBy(F.desc("seen"), "key").limit(FREQUENT).toArrow()
     meta = survey.where("n IS NOT NULL").select("doc_id", "n", "sig")
-    classes = keep.keep(meta.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = keep.keep(meta.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
 
-    top = survey.where("key IS NOT NULL").groupBy("key").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= SEEN).orderBy(F.desc("seen"), "key").limit(FREQUENT).toArrow()
     keys = top.column("key").to_numpy().view(K.U)
     order = np.argsort(keys)
-    place = (len(keys) - 1 - np.arange(len(keys)))[order]  # the most frequent last
+    place = (len(keys) - 1 - np.arange(len(keys)))[order].astype(np.int32)  # the most frequent last
     frequent = spark.sparkContext.broadcast((keys[order], place))  # at most FREQUENT numbers
-
-    entries = docs.mapInArrow(_entries(n, percent, frequent), "key long, sig long")
-    stars = keep.keep(entries.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_stars, "key long, lead long, sig long"), "stars")
+    entries = docs.mapInArrow(_entries(n, percent, frequent), "key long, sig long, n int")
+    product = keep.keep(entries.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_columns(percent, LARGE), _PRODUCT), "product")
+    frequent.destroy()
     keep.release()
 
-    # the shared columns among the first ones of each row: what the size-derived bounds are held against
-    member = stars.select("sig", "key").union(stars.select("lead", "key")).distinct()
-    firsts = keep.keep(member.groupBy("sig").agg(F.collect_list("key").alias("keys")), "firsts")
-
-    links: list[DataFrame] = []
-
-    def verify(pairs: DataFrame, tag: str) -> None:
-        """Keep those of the distinct pairs (a, b) that are links."""
-        a, b = (classes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"rep{x}")) for x in "ab")
-        sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        fa, fb = (firsts.select(F.col("sig").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
-        needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-        beyond = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
-        common = F.size(F.array_intersect("ka", "kb"))
-        sized = sized.join(fa, "a").join(fb, "b").where(common >= needed - beyond).drop("ka", "kb")
-        sized = keep.keep(sized, f"pairs-{tag}")
-        need = keep.keep(sized.select(F.col("repa").alias("doc_id"), F.col("a").alias("sig")).union(sized.select("repb", "b")).distinct(), f"need-{tag}")
-        words = need.mapInArrow(_filter_words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-        bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-        bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
-        wanted = spark.sparkContext.broadcast(bits)
-        sets = docs.mapInArrow(_fetch(n, wanted), "doc_id long, sig long, grams binary").join(need, ["doc_id", "sig"]).select("sig", "grams")
-        sets = keep.keep(sets, f"sets-{tag}")
+    # the tasks' counts summed, against the size-derived bound; large columns of both rows may be shared uncounted
+    large = product.where(F.col("kind") == ROW).select("key", F.col("a").alias("sig"), F.col("na").alias("n"))
+    uncounted = large.groupBy("sig").agg(F.count(F.lit(1)).alias("u"))
+    ua, ub = (uncounted.select(F.col("sig").alias(x), F.col("u").alias(f"u{x}")) for x in "ab")
+    pairs = product.where(F.col("kind") <= STAR).groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("common"))
+    needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    beyond = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
+    reach = F.col("common") + F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
+    pairs = pairs.where(F.col("common") >= needed - beyond).unionByName(pairs.where(F.col("common") < needed - beyond).join(ua, "a").join(ub, "b").where(reach >= needed - beyond).drop("ua", "ub"))
+    pairs = keep.keep(pairs.select("a", "b", "common"), "pairs")
+    rows = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
+    need = keep.keep(classes.join(rows, "sig").select(F.col("rep").alias("doc_id"), "sig"), "need")
+    sets = _sets_of(docs, need, n, keep)
+
+    def verified(of: DataFrame, tag: str) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are links."""
         ga, gb = (sets.select(F.col("sig").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        out = sized.select("a", "b").join(ga, "a").join(gb, "b").mapInArrow(_linked(percent), "a long, b long")
-        links.append(keep.keep(out, f"links-{tag}"))
-        keep.drop(f"sets-{tag}", f"need-{tag}", f"pairs-{tag}")
-        keep.release()
-
-    def all_links() -> DataFrame:
-        out = links[0]
-        for x in links[1:]:
-            out = out.union(x)
-        return out
-
-    # each row with the first row that it shares most columns with
-    shared = keep.keep(stars.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("columns")), "shared")
-    best = shared.groupBy("sig").agg(F.max(F.struct("columns", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("sig").alias("b"))
-    verify(best, "best")
-
-    def jumped(up: DataFrame, times: int) -> DataFrame:
-        """Follow (node, component) pointers, 2^times steps in all."""
-        for _ in range(times):
-            up = up.join(up.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        return up
+        return keep.keep(of.select("a", "b").join(gb, "b").join(ga, "a").mapInArrow(_linked(percent), "a long, b long"), tag)
 
     # labels say which rows are known to be connected: equal labels are, different ones may be.  They save pairs only;
-    # the components come from all links at the end.  A row has one link at most to the row it was paired with.
-    label = keep.keep(jumped(links[0].select(F.col("b").alias("node"), F.col("a").alias("component")), 2), "labels-best")
-
-    def relabel(df: DataFrame, column: str, as_: str) -> DataFrame:
-        """Add the label of a set; a set without links is its own."""
-        known = label.select(F.col("node").alias(column), F.col("component").alias("__c"))
-        return df.join(known, column, "left").withColumn(as_, F.coalesce("__c", column)).drop("__c")
-
-    def join_labels(tag: str) -> DataFrame:
-        """Labels after the last links: a label that they join with smaller ones takes the smallest."""
-        ends = keep.keep(relabel(relabel(links[-1], "a", "la"), "b", "lb").where("la <> lb"), f"ends-{tag}")
-        up = ends.groupBy(F.greatest("la", "lb").alias("node")).agg(F.min(F.least("la", "lb")).alias("component"))
-        up = keep.keep(jumped(up, 3), f"up-{tag}")
-        named = label.union(ends.select(F.col("a").alias("node"), F.col("la").alias("component")).union(ends.select("b", "lb"))).distinct()
-        moved = named.join(up.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
-        return keep.keep(moved.select("node", F.coalesce("next", "component").alias("component")), f"labels-{tag}")
+    # the components come from all links at the end.  First each row with the smaller one that it shares most with.
+    best = pairs.groupBy("b").agg(F.max(F.struct("common", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = [verified(best, "links-best")]
+    label = keep.keep(_jumped(links[0].select(F.col("b").alias("node"), F.col("a").alias("component")), 2), "label-best")
+    rest = _relabel(_relabel(pairs.join(best, ["a", "b"], "left_anti"), label, "a", "ca"), label, "b", "cb").where("ca <> cb")
+    links.append(verified(rest, "links-rest"))
 
     def settled(tag: str) -> DataFrame:
         """The components of all links so far: labels, joined by the links between them."""
-        ends = keep.keep(relabel(relabel(all_links(), "a", "la"), "b", "lb").select("a", "b", "la", "lb"), f"ends-{tag}")
-        across = keep.keep(components(ends.where("la <> lb").select("la", "lb"), keep, f"star-{tag}"), f"across-{tag}")
-        nodes = ends.select(F.col("a").alias("node"), F.col("la").alias("component")).union(ends.select("b", "lb")).distinct()
-        top = across.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        return keep.keep(nodes.join(top, "component", "left").select("node", F.coalesce("next", "component").alias("component")), f"labels-{tag}")
-
-    # the other first rows, where they lie in another component
-    rest = relabel(relabel(shared, "sig", "cs"), "lead", "cl").where("cs <> cl").select(F.col("lead").alias("a"), F.col("sig").alias("b"))
-    verify(rest.join(best, ["a", "b"], "left_anti"), "rest")
-    label = settled("rest")
-
-    # columns whose other rows lie in several components
-    open_ = stars.select("key", "sig")
-    for turn in range(ROUNDS):
-        rows = relabel(open_, "sig", "c")
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rows = keep.keep(rows.join(mixed, "key"), f"open-{turn}")
-        if rows.isEmpty():
-            break
-        each = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-        of_key = each.groupBy("key").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "c")).alias("most"))
+        ends = functools.reduce(DataFrame.union, links)
+        ends = keep.keep(_relabel(_relabel(ends, label, "a", "ca"), label, "b", "cb").select("a", "b", "ca", "cb"), f"ends-{tag}")
+        across = components(ends.where("ca <> cb").select("ca", "cb"), keep, f"star-{tag}")
+        out = keep.keep(_moved(label, ends, across), f"label-{tag}")
+        keep.drop(f"ends-{tag}")
+        return out
+
+    label = settled("small")
+    turn, open_ = 0, large
+    while turn < ROUNDS:
+        rows = _relabel(open_, label, "sig", "c")
+        each = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
+        of_key = each.agg(F.sum("k").alias("rows"), F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
         rows = rows.join(of_key.select("key", "rows", F.col("most.c").alias("main"), (F.col("rows") - F.col("most.k")).alias("minor")), "key")
-        finish = F.lit(True) if turn == ROUNDS - 1 else (F.col("rows") <= LARGE) | (F.lit(turn > 0) & (F.col("minor") <= MINOR))
         # nested choices: columns of like size choose the same rows
         rows = rows.withColumn("scale", F.greatest(F.lit(0), F.floor(F.log2(F.col("rows") / 8))).cast("int"))
         chosen = F.pmod(F.xxhash64("sig", F.lit(turn)), F.expr("shiftleft(1L, scale)")) == 0
-        rows = keep.keep(rows.select("key", "sig", "c", "main", (F.col("rows") > LARGE).alias("large"), "scale", finish.alias("finish"), chosen.alias("first")), f"rows-{turn}")
-        pick = F.when(F.col("finish"), F.col("c") != F.col("main")).otherwise(F.col("first"))
-        # small columns: their rows meet each other
-        few = rows.where("NOT large").withColumn("pick", pick)
-        one = few.where("pick").select("key", F.col("sig").alias("sx"), F.col("c").alias("cx"))
-        two = few.select("key", F.col("sig").alias("sy"), F.col("c").alias("cy"))
-        met = one.join(two, "key").where("cx <> cy").select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
-        # large ones: once for all columns of like size with the same largest component, in blocks
+        finish = F.lit(turn == ROUNDS - 1) | (F.col("minor") <= MINOR)
+        rows = keep.keep(rows.select("key", "sig", "n", "c", "main", "scale", finish.alias("finish"), chosen.alias("first")), f"open-{turn}")
+        if rows.isEmpty():
+            break
+        # once for all columns of like size with the same largest component, in blocks
         of = ["scale", "main", "finish"]
-        many = rows.where("large").withColumn("pick", pick).groupBy(*of, "sig", "c").agg(F.max("pick").alias("pick"))
-        sizes = many.groupBy(*of).agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
-        many = many.join(firsts, "sig").join(classes.select("sig", "n"), "sig").join(sizes, of)
-        blocks = many.groupBy(*of, F.pmod(F.xxhash64("sig"), "blocks").alias("block")).agg(F.collect_list(F.struct("sig", "c", "n", "pick", "keys")).alias("x"))
-        across = blocks.join(blocks.select(*of, F.col("x").alias("y")), of).select("x", "y")
-        pairs = met.union(across.mapInArrow(_block_product(percent), "a long, b long"))
-        verify(pairs.distinct(), f"turn{turn}")
-        if not links[-1].isEmpty():
-            label = join_labels(f"turn{turn}")
-        open_ = rows.where("NOT finish AND NOT first").select("key", "sig")
-
-    label = settled("all")
+        pick = F.when(F.col("finish"), F.col("c") != F.col("main")).otherwise(F.col("first"))
+        many = rows.groupBy(*of, "sig", "c", "n").agg(F.max(pick).alias("pick"))
+        sizes = many.groupBy(*of).agg(F.expr(f"greatest(count(*) div {BLOCK}, sum(n) div {ELEMENTS}) + 1").alias("blocks"))
+        many = many.join(sizes, of).withColumn("block", F.pmod(F.xxhash64("sig"), "blocks")).join(sets, "sig")
+        group = F.collect_list(F.struct("sig", "c", "grams"))  # a block is of bounded size
+        x, y = many.where("pick").groupBy(*of, "block").agg(group.alias("x")).drop("block"), many.groupBy(*of, "block").agg(group.alias("y")).drop("block")
+        found = keep.keep(x.join(y, of).select("x", "y").mapInArrow(_block_product(percent), "a long, b long, ca long, cb long"), f"found-{turn}")
+        up = found.groupBy(F.greatest("ca", "cb").alias("node")).agg(F.min(F.least("ca", "cb")).alias("component"))
+        label = keep.keep(_moved(label, found, keep.keep(_jumped(up, 3), f"up-{turn}")), f"label-{turn}")
+        links.append(found.select("a", "b"))
+        open_ = rows.where("NOT finish AND NOT first").select("key", "sig", "n")
+        turn += 1
+    if turn:
+        label = settled("all")
+    keep.drop("product", "pairs", "need", "sets", *(f"open-{k}" for k in range(turn + 1)))
+
     least = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("sig"), "component_id")
-    found = classes.join(least, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    found = keep.keep(classes.join(least, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")), "found")
     documents = meta.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     a, b = (classes.select(F.col("sig").alias(x), F.col("rep").alias(f"doc_{x}")) for x in "ab")
-    return Joined(documents, all_links().join(a, "a").join(b, "b").select("doc_a", "doc_b").distinct())
+    return Joined(documents, functools.reduce(DataFrame.union, links).join(a, "a").join(b, "b").select("doc_a", "doc_b").distinct())
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
