@@ -10,9 +10,9 @@ number, checked for gaps and against WARC-Segment-Total-Length, and joined; then
 the payload checked against WARC-Payload-Digest.
 
 Defined cases: null html is an empty payload (equal to other empty payloads when ``min_bytes`` is 0); a null page_id
-is always a response and comes back as null; null urls become ``urn:page``; repeated rows (same id and html) give a
-row each, all of them responses if the id is the smallest; an empty table gives no rows; further columns of the input
-are ignored.  Damaged records raise an error.
+is always a response and comes back as null; null urls become ``urn:page``; repeated ids give a row each, judged by
+their own payload (rows of the smallest id with it are all responses); an empty table gives no rows; further columns of
+the input are ignored.  Damaged records raise an error.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -214,12 +214,16 @@ def _joiner(with_payload: bool):
     return run
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Rows (page_id, refers_to) of pages whose payload of at least ``min_bytes`` a page of smaller id has too."""
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    """Rows (page_id, d, refers_to) of pages whose payload (digest d, ``min_bytes`` at least) a page of smaller id has."""
+    payload = _payload()
     marks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("d"), F.octet_length(payload).alias("n")).where(f"n >= {int(min_bytes)}").select("page_id", "d")
     first = marks.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("refers_to < most").select("d", "refers_to")
-    return marks.join(first, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return marks.join(first, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, refers: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -238,7 +242,7 @@ def write_archives(pages: DataFrame, path: str, refers: DataFrame, segment_bytes
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").join(refers, "page_id", "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(_payload()).alias("d")).join(refers, ["page_id", "d"], "left")
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
