@@ -20,8 +20,10 @@ from __future__ import annotations
 import html as _html
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,9 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _IN_HEAD = frozenset("title meta link base script style template noscript".split())
 
-_TOKEN = re.compile(r"<!--(?:(?!-->).)*(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a start tag; nothing is tried twice.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -76,92 +80,142 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+class Open(list):
+    """The open elements, and for each tag where it is open, so that looking for one doesn't walk over the others."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self))
+        self.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close element ``i`` and all in it."""
+        for node in self[i:]:
+            self.at[node.tag].pop()
+        del self[i:]
+
+    def last(self, tags) -> int:
+        """The innermost place where one of ``tags`` is open, or 0."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def first_after(self, tags, least: int) -> int | None:
+        """The outermost place beyond ``least`` where one of ``tags`` is open."""
+        found = [p[k] for t in tags if (p := self.at.get(t)) and (k := bisect_right(p, least)) < len(p)]
+        return min(found, default=None)
+
+
 def build(source: str) -> Node:
-    """Element tree of a page; text nodes are strings."""
+    """Element tree of a page; text nodes are strings.  One pass: work grows with the length of the page."""
     root = Node("#root")
-    stack = [root]
+    stack = Open(root)
 
     def text(s: str) -> None:
         if not s:
             return
         top = stack[-1]
         if top.tag == "head" and not s.isspace():  # text ends the head
-            stack.pop()
+            stack.cut(len(stack) - 1)
             top = stack[-1]
         top.children.append(_html.unescape(s) if "&" in s else s)
 
-    at, lower = 0, None
+    at = scan = 0
+    lower, raw_ends, last, unclosed = None, {}, source.rfind(">"), -1
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        if not m:
+        lt = source.find("<", scan)
+        if lt < 0:
             text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        if m[1]:
-            _end(stack, m[1].lower())
-        elif m[2]:
-            tag = m[2].lower()
-            _start(stack, tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
+        follows = source[lt + 1 : lt + 2]
+        if source.startswith("<!--", lt):
+            text(source[at:lt])
+            end = source.find("-->", lt + 4)
+            at = scan = len(source) if end < 0 else end + 3
+        elif source.startswith("<![CDATA[", lt):
+            text(source[at:lt])
+            end = source.find("]]>", lt + 9)
+            end = len(source) if end < 0 else end
+            text(source[lt + 9 : end].replace("&", "&amp;"))
+            at = scan = end + 3
+        elif lt > last:  # nothing closes a tag from here on
+            scan = lt + 1
+        elif follows in ("!", "?"):
+            text(source[at:lt])
+            at = scan = source.find(">", lt) + 1
+        elif follows == "/" and (m := _NAME.match(source, lt + 2)):
+            text(source[at:lt])
+            at = scan = source.find(">", m.end()) + 1 or len(source)
+            _end(stack, m[0].lower())
+        elif follows != "/" and (m := _NAME.match(source, lt + 1)):
+            text(source[at:lt])
+            tag, rest = m[0].lower(), None
+            if lt > unclosed:
+                rest = _REST.match(source, m.end())
+            if rest:
+                inside, at = rest[1], rest.end()
+            else:  # a quote that nothing closes: the tag ends at the next bracket, and so do those before that quote
+                end = source.find(">", m.end())
+                unclosed = max(unclosed, source.rfind('"'), source.rfind("'")) if unclosed < 0 else unclosed
+                inside, at = (source[m.end() : end], end + 1) if end >= 0 else ("", len(source))
+            _start(stack, tag, attributes(inside) if inside and not inside.isspace() else {})
             if tag in RAW:
                 if lower is None:
                     lower = source.lower() if source.isascii() else "".join(c.lower() if c.isascii() else c for c in source)
-                end = lower.find(f"</{tag}", at)
-                end = len(source) if end < 0 else end
+                if raw_ends.get(tag, at) < len(source):  # not known to have no end
+                    end = lower.find(f"</{tag}", at)
+                    raw_ends[tag] = end = len(source) if end < 0 else end
+                else:
+                    end = len(source)
                 body = source[at:end]
                 stack[-1].children.append(_html.unescape(body) if tag in ("textarea", "title") and "&" in body else body)
-                stack.pop()
+                stack.cut(len(stack) - 1)
                 close = source.find(">", end)
                 at = len(source) if close < 0 else close + 1
-        elif m[0] == "<![CDATA[":
-            end = source.find("]]>", at)
-            text(source[at : len(source) if end < 0 else end].replace("&", "&amp;"))
-            at = len(source) if end < 0 else end + 3
+            scan = at
+        else:
+            scan = lt + 1
     return root
 
 
-def _start(stack: list[Node], tag: str, attrs: dict[str, str]) -> None:
+def _start(stack: Open, tag: str, attrs: dict[str, str]) -> None:
     if stack[-1].tag == "head" and tag not in _IN_HEAD:
-        stack.pop()
+        stack.cut(len(stack) - 1)
     ends, limit = ENDS.get(tag, (None, None))
     if ends:
-        # close up to the outermost open element that this tag ends
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i].tag
-            if t in ends:
-                cut = i
-            elif t in limit:
-                break
+        # close up to the outermost open element that this tag ends, within the innermost boundary
+        cut = stack.first_after(ends, stack.last(limit - ends))
         if cut is not None:
-            del stack[cut:]
+            stack.cut(cut)
     if tag in _HEADING and stack[-1].tag in _HEADING:
-        stack.pop()
+        stack.cut(len(stack) - 1)
     parent = stack[-1]
     # parts of tables that the source left out
     if tag in _CELLS and parent.tag in ("table", "tbody", "thead", "tfoot"):
         row = Node("tr")
         parent.children.append(row)
-        stack.append(row)
+        stack.push(row)
         parent = row
     node = Node(tag, attrs)
     parent.children.append(node)
     if tag not in VOID:
-        stack.append(node)
+        stack.push(node)
+
 
+_TABLE_ENDS = frozenset("table tr td th tbody thead tfoot body html".split())
 
-def _end(stack: list[Node], tag: str) -> None:
+
+def _end(stack: Open, tag: str) -> None:
     if tag == "br":
         stack[-1].children.append(Node("br"))
         return
-    for i in range(len(stack) - 1, 0, -1):
-        t = stack[i].tag
-        if t == tag:
-            del stack[i:]
-            return
-        if t in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
-            return  # a stray end tag doesn't leave its cell
-    if tag == "p":
+    i = stack.last([tag])
+    # a stray end tag doesn't leave its cell
+    stray = i > 0 and tag not in _TABLE_ENDS and stack.last(("table", "td", "th")) > i
+    if i and not stray:
+        stack.cut(i)
+    elif tag == "p" and not stray:
         stack[-1].children.append(Node("p"))
 
 
@@ -376,42 +430,42 @@ def _table(node: Node, out: Lines, depth: int) -> None:
     gather(node)
     out.end_line()
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row (first column, columns, lines)
-    taken: dict[tuple[int, int], bool] = {}
+    held: list[tuple[int, int, int]] = []  # (first column, end, first free row) of cells from rows above, by column
     for r, cells in enumerate(rows):
-        placed, c = [], 0
+        held = [x for x in held if x[2] > r]
+        placed, new, c, k = [], [], 0, 0
         for cell in cells:
-            while (r, c) in taken:
-                c += 1
+            while k < len(held) and held[k][0] <= c:
+                c = max(c, held[k][1])
+                k += 1
             wide, high = _span(cell, "colspan"), min(_span(cell, "rowspan"), len(rows) - r)
-            for k in range(1, high):
-                for j in range(wide):
-                    taken[r + k, c + j] = True
+            if high > 1:
+                new.append((c, c + wide, r + high))
             placed.append((c, wide, _flat(cell, depth)))
             c += wide
+        if new:
+            held = sorted(held + new)
         grid.append(placed)
-    width: dict[int, int] = {}
+    columns = max((c + wide for placed in grid for c, wide, _ in placed), default=0)
+    width = np.zeros(columns + 1, np.int64)
     for placed in grid:
         for c, wide, lines in placed:
             if wide == 1:
-                width[c] = max(width.get(c, 0), *map(len, lines or [""]))
+                width[c] = max(width[c], *map(len, lines or [""]))
     for placed in grid:  # a spanning cell widens its last column if it must
         for c, wide, lines in placed:
-            if wide > 1:
-                have = sum(width.get(c + j, 0) for j in range(wide)) + 2 * (wide - 1)
-                most = max(map(len, lines or [""]))
-                if most > have:
-                    width[c + wide - 1] = width.get(c + wide - 1, 0) + most - have
-    left, at = {}, 0
-    for c in range(max(width, default=-1) + 2):
-        left[c] = at
-        if width.get(c, 0):
-            at += width[c] + 2
+            if wide > 1 and lines:
+                own = width[c : c + wide]
+                more = max(map(len, lines)) - int(own.sum()) - 2 * int((own[:-1] > 0).sum())  # empty columns take no room
+                if more > 0:
+                    width[c + wide - 1] += more
+    left = np.cumsum(np.where(width > 0, width + 2, 0)) - np.where(width > 0, width + 2, 0)
     for placed in grid:
         for k in range(max((len(x[2]) for x in placed), default=0)):
             line = ""
             for c, _, lines in placed:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(left.get(c, at)) + lines[k]
+                    line = line.ljust(int(left[c])) + lines[k]
             out.add([line])
 
 
