@@ -1,18 +1,26 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Components are integers floor(256 x).  Vectors are stored in blocks; the impact of a posting is its component over the
-least of its dimension in the block, quantised to base 16.  The index keeps the postings as segments of one digit each,
-the most significant first.  Scores of all vectors grow a segment at a time by descending impact, for a block of
-queries at once.  What the digits not read yet can still add bounds every score from both sides: processing stops only
-on proof, when few vectors can reach the k-th best lower bound, and exactly these possible members are scored again in
-integers.  Ties at the k-th score stay possible members.
-
-Blocks of queries meet blocks of vectors by a join on the query block's number; each pair of blocks gives k rows a
-query.  Nothing grows with the corpus in one task but the number of block pairs, each of bounded size.
-
-Defined cases: null vectors and vectors with null or non-finite components take no part; a missing component counts as
-0; repeated rows are candidates of their own, a query's own id never is; fewer than k candidates give all; an empty
-table gives no rows; further columns of the input are ignored.
+Components are integers floor(256 x).  Vectors are stored in blocks.  In a block each dimension has a posting list: the
+vectors by descending quantised component, cut into segments of equal level (``LEVELS`` a dimension).  Against a query a
+posting of dimension d is worth at least 0 beyond the least that d can give, whatever the sign of the query's weight
+(for negative weights the list is read from its other end), so each segment has an impact: the most that its postings
+can be worth.  Segments of all dimensions are processed by descending impact; their postings add the least that they
+are worth to their vectors' accumulators.
+
+Proof of stopping: a vector's score is at most its accumulator, plus the quantisation slack of the dimensions in which
+its posting was read, plus the impact of the next segment of each other dimension, for lists are read in order.  Its
+score is at least its accumulator.  A vector whose upper bound lies below the k-th best lower bound, of this block or of
+exact scores found before, can't be among the best k.  Processing stops when few possible members are left, and exactly
+these are scored again in integers.  Ties at the k-th score stay possible members.
+
+Query blocks are dealt to the buckets of vector blocks by a join on the bucket's number, so vectors move once; each pair
+of blocks gives k rows a query.  What one task holds is a block of vectors and one of queries.
+
+Defined cases: null and empty vectors and vectors with null or non-finite components take no part; a missing component
+counts as 0; repeated rows are candidates of their own, a query's own id never is; of an id with several different
+vectors the least in the order of arrays is the query; a null id takes no part; fewer than k candidates give all; an
+empty table gives no rows; further columns of the input are ignored; scores beyond 64 bits are given as the nearest
+64-bit integer.
 """
 
 from __future__ import annotations
@@ -24,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .scratch import Scratch
 
 SCALE = 256
 K_BEST = 5
 VECTORS, QUERIES = 8192, 512
-#: Bits of a digit of the quantised impact.
-DIGIT = 4
-#: Possible members of a query that are scored exactly at once.
-FEW = 64
+#: Levels of the quantised impact of a dimension.
+LEVELS = 16
+#: Possible members that are scored exactly at once: so many, or this part of a block.
+FEW, FEW_PART = 64, 8
+#: Parts of the postings after which the bounds are looked at.
+STEPS = (0.5, 0.75, 0.9, 1)
 
 
 def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -63,49 +74,83 @@ def _matrix(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
 
 
 class ImpactBlock:
-    """One block's postings: for each digit of the quantised impact, the most significant first, its segment."""
+    """One block's postings, by dimension and level.  ``read`` counts the postings that searches have processed."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix
-        self.low = matrix.min(axis=0)
-        impact = matrix - self.low
-        self.segments = []
-        if matrix.dtype != object:
-            for digit in range(-(-int(impact.max(initial=0)).bit_length() // DIGIT) - 1, -1, -1):
-                self.segments.append((1 << DIGIT * digit, ((impact >> DIGIT * digit) & ((1 << DIGIT) - 1)).astype(np.float64)))
-
-    def _possible(self, q: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per query the places of vectors that can be among its best k."""
-        other = self.ids[None, :] != own[:, None]
-        exact = int(np.abs(q).max(initial=0)) * int(np.abs(self.matrix).max(initial=0)) * max(1, q.shape[1]) < 1 << 52
-        if q.dtype == object or self.matrix.dtype == object or not exact or len(self.ids) <= k + 1:
-            return [np.flatnonzero(x) for x in other]  # sums beyond exact floats: all of them
-        wide = q.astype(np.float64)
-        score = np.where(other, (wide @ self.low.astype(np.float64))[:, None], -np.inf)
-        least = len(self.ids) - k
-        for unit, segment in self.segments:
-            score += unit * (wide @ segment.T)
-            # digits not read yet add up to unit - 1 to each component
-            margin = np.abs(wide).sum(axis=1) * (unit - 1)
-            reach = np.partition(score, least, axis=1)[:, least] - margin
-            alive = score >= reach[:, None]
-            if alive.sum(axis=1).max(initial=0) <= max(k, FEW):
+        self.ids, self.matrix, self.read = ids, matrix, 0
+        self.exact_only = matrix.dtype == object or not matrix.size
+        if self.exact_only:
+            return
+        self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
+        self.most = int(np.abs(matrix).max())
+        self.unit = (self.high - self.low) // LEVELS + 1
+        self.level = ((matrix - self.low) // self.unit).astype(np.uint8)
+        self.postings = np.ascontiguousarray(np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32))  # by dimension, ascending level
+        count = np.stack([(self.level == k).sum(axis=0) for k in range(LEVELS)], axis=1)  # (dimension, level)
+        self.count, self.first = count, np.cumsum(count, axis=1) - count
+        self.least = self.low[:, None] + np.arange(LEVELS) * self.unit[:, None]
+        self.most_of = np.minimum(self.least + self.unit[:, None] - 1, self.high[:, None])
+
+    def possible(self, q: np.ndarray, own: int, k: int, known: float = -np.inf) -> np.ndarray:
+        """Places of the vectors that can be among the best k of a query; ``known``: a score that k others reach."""
+        other = self.ids != own
+        if self.exact_only or q.dtype == object or int(np.abs(q).max(initial=0)) * self.most * max(1, len(q)) >= 1 << 52:
+            return np.flatnonzero(other)  # sums beyond exact floats: all of them
+        few = max(k, FEW, len(self.ids) // FEW_PART)
+        if len(self.ids) <= few:
+            return np.flatnonzero(other)
+        w = q[:, None]
+        lower, upper = np.where(w >= 0, w * self.least, w * self.most_of), np.where(w >= 0, w * self.most_of, w * self.least)
+        seen = self.count > 0
+        floor = np.where(seen, lower, np.iinfo(np.int64).max).min(axis=1)  # the least that a dimension gives
+        base = float(floor.sum())
+        gain, impact = (lower - floor[:, None]).astype(np.float64), (upper - floor[:, None]).astype(np.float64)
+        dims, levels = np.nonzero(seen & (w != 0))
+        by = np.argsort(-impact[dims, levels], kind="stable")
+        dims, levels = dims[by], levels[by]
+        count = self.count[dims, levels]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        first = self.first[dims, levels]
+        segments = list(zip(dims.tolist(), first.tolist(), (first + count).tolist(), gain[dims, levels].tolist(), strict=True))
+        slack = np.where(seen, impact - gain, 0).max(axis=1)
+        score, places, start = np.zeros(len(self.ids)), np.flatnonzero(other), 0
+        for step in STEPS:
+            end = len(dims) if step == 1 else int(np.searchsorted(upto, total * step))
+            for d, lo, hi, g in segments[start:end]:
+                if g:
+                    score[self.postings[d][lo:hi]] += g
+            self.read += int(count[start:end].sum())
+            start = end
+            reach = score[places] + slack.sum()
+            if end < len(dims):
+                # what the next segment of each dimension can still give to vectors that weren't in the segments read
+                rest = np.zeros(len(q))
+                np.maximum.at(rest, dims[end:], impact[dims[end:], levels[end:]])
+                top, bottom = np.full(len(q), -1), np.full(len(q), LEVELS)
+                np.maximum.at(top, dims[end:], levels[end:])
+                np.minimum.at(bottom, dims[end:], levels[end:])
+                own_level = self.level if len(places) == len(self.ids) else self.level[places]
+                open_ = np.where(q >= 0, own_level <= top, own_level >= bottom)
+                part = open_.astype(np.float32) @ (rest - slack).astype(np.float32)
+                part = part + np.abs(rest - slack).sum() * len(q) * 2.0**-22  # 32-bit sums, rounded up
+                reach = reach + (part if len(part) == len(places) else part[places])
+            bound = known - base
+            if len(places) >= k:
+                bound = max(bound, float(np.partition(score[places], len(places) - k)[len(places) - k]))
+            places = places[reach >= bound]
+            if len(places) <= few:
                 break
-        else:
-            reach = np.partition(score, least, axis=1)[:, least]
-            alive = score >= reach[:, None]
-        return [np.flatnonzero(x) for x in alive & other]
+        return places
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The exact best k (ids, scores) of each query but its own id; ties go to smaller ids."""
+    def search(self, q: np.ndarray, own: int, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The exact best k (ids, scores) of a query but its own id, of those that reach ``known``; ties: smaller ids."""
         d = self.matrix.shape[1]
-        q = np.concatenate((queries, np.zeros((len(queries), max(0, d - queries.shape[1])), queries.dtype)), axis=1)[:, :d]
-        out = []
-        for x, alive in zip(q, self._possible(q, own, k), strict=True):
-            score = self.matrix[alive] @ x
-            best = np.lexsort((self.ids[alive], -score))[:k]
-            out.append((self.ids[alive][best], score[best]))
-        return out
+        q = np.concatenate((q, np.zeros(max(0, d - len(q)), q.dtype)))[:d]
+        alive = self.possible(q, own, k, known)
+        score = self.matrix[alive] @ q
+        best = np.lexsort((self.ids[alive], -score))[:k]
+        return self.ids[alive][best], score[best]
 
 
 def _pack(size: int):
@@ -144,37 +189,50 @@ def _unpack(ids, vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), _matrix(list(m)) if np.abs(m).max(initial=0) > 1 << 26 else m.astype(np.int64)
 
 
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[object, ImpactBlock | None] = (None, None)
+        best: dict[object, list] = {}  # of the query blocks of this bucket: each query's k best scores so far
+        bucket = None
         for b in batches:
             for r in b.to_pylist():
+                if bucket != r["bucket"]:
+                    bucket, best = r["bucket"], {}
                 if held[0] != r["v_ids"]:
                     held = (r["v_ids"], ImpactBlock(*_unpack(r["v_ids"], r["v_vectors"], r["v_width"])))
                 q_ids, q = _unpack(r["q_ids"], r["q_vectors"], r["q_width"])
                 query, vec, score = [], [], []
-                for own, (i, s) in zip(q_ids.tolist(), held[1].search(q, q_ids, k), strict=True):
+                for own, x in zip(q_ids.tolist(), q, strict=True):
+                    top = best.setdefault(own, [])
+                    i, s = held[1].search(x, own, k, top[k - 1] if len(top) >= k else -np.inf)
                     query += [own] * len(i)
                     vec += i.tolist()
-                    score += s.tolist()
+                    score += (s := s.tolist())
+                    best[own] = sorted(top + s, reverse=True)[:k]
+                score = [min(max(x, _LONG[0]), _LONG[1]) for x in score]
                 yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return run
+    return K.lean(run)
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = K_BEST, queries_of: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by ``queries_of``."""
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    finite = "vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.coalesce(F.expr(finite), F.lit(False)))
     ddl = "ids binary, vectors binary, width int"
-    q = source.where(F.col("vec_id") % queries_of == 0).dropDuplicates(["vec_id"]).mapInArrow(_pack(QUERIES), ddl)
+    q = source.where(F.col("vec_id") % queries_of == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(_pack(QUERIES), ddl)
     q = q.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"))
     v = source.mapInArrow(_pack(VECTORS), ddl).select(F.col("ids").alias("v_ids"), F.col("vectors").alias("v_vectors"), F.col("width").alias("v_width"))
-    # every block of vectors meets every block of queries
+    # every block of queries goes to every bucket of vector blocks
     keep = Scratch(spark, "topk")
-    q = keep.keep(q.withColumn("q", F.monotonically_increasing_id()), "queries")
-    v = keep.keep(v, "vectors")
-    numbers = F.array(*(F.lit(r[0]) for r in q.select("q").collect())) if not q.isEmpty() else F.array().cast("array<bigint>")
-    pairs = v.withColumn("q", F.explode(numbers)).repartition("q", F.xxhash64("v_ids")).join(q, "q").drop("q")
+    q, v = keep.keep(q, "queries"), keep.keep(v, "vectors")
+    buckets = max(1, v.count())
+    v = v.withColumn("bucket", F.pmod(F.xxhash64("v_ids"), F.lit(buckets)).cast("int"))
+    q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    pairs = v.join(q, "bucket").sortWithinPartitions("bucket", "v_ids")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
