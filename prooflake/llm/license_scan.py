@@ -1,20 +1,24 @@
 """License scan: phrase labels and an exact containment join of text blocks with templates [DataFrame functions only].
 
-Base labels come from phrases of consecutive words.  The method finds every block (line) that holds at least
-``PERCENT`` of a template's distinct words.  Tokens are ordered by how many documents have them, rarest first, over
-the whole corpus.  A block that meets the threshold has one of the first |T| - ceil(t |T|) + 1 tokens of the template
-(prefix filter), has at least ceil(t |T|) distinct template words (length filter), and, if the first token it shares
-stands at place i of the template's order, |T| - i must still reach the threshold (positional filter); what passes is
-verified exactly.  Templates are a bounded parameter; texts aren't shuffled.
+Base labels come from phrases of consecutive words.  The method finds every block that holds at least ``PERCENT`` of a
+template's distinct words.  A block is a window of 2 W words, one at every W-th word, where W is twice the words of the
+longest template: blocks run over line breaks, so wrapped licenses are found, and any passage of W words lies in one.
+
+Tokens are ordered by how many documents have them, rarest first, over the whole corpus.  A block that meets the
+threshold has one of the first |T| - ceil(t |T|) + 1 tokens of the template, so blocks are joined by token with an
+inverted index of these alone (prefix filter).  A block needs ceil(t |T|) distinct template words (length filter), and if
+the first token it shares stands at place i of the template's order, |T| - i must still reach the threshold (positional
+filter); what passes is verified exactly.  Templates are a table parameter of bounded size; texts aren't shuffled.
 
 Defined cases: null and empty texts have no words; words are runs of ASCII letters and digits and of all characters
-beyond ASCII, with A-Z lower-cased; repeated rows are rows of their own; an empty table gives no rows; further columns
-of the input are ignored; whole texts are scanned, however long.
+beyond ASCII, with A-Z lower-cased; templates without words or without a label are left out, of a label with several
+templates any one is enough; repeated rows are rows of their own; an empty table gives no rows; further columns of the
+input are ignored; whole texts are scanned, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -81,47 +85,71 @@ def _base(text: Column) -> Column:
     return F.struct(*(F.when(text.rlike(_phrase(p)), _starts(text, _phrase(p))).otherwise(none).alias(label) for p, label in PHRASES.items()))
 
 
-def block_matches(keep: Scratch, rows: DataFrame, found: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
-    """(row, label, containment) of every block of ``rows`` (row, text) that meets a template's threshold.
+def block_words(templates: dict[str, str]) -> int:
+    """W: twice the words of the longest template, repeated ones too."""
+    import re
+
+    return 2 * max((len(re.findall(f"[^{_RAW_GAP}]+", t)) for t in templates.values()), default=1)
+
+
+def template_index(templates: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(token, place, label, template, size, need) of the templates' prefixes, from (label, template, words) rows.
 
     ``found``: (token) rows, one for each document and template token in it.
     """
-    words = {k: template_words(t) for k, t in templates.items()}
-    need = {k: -(-percent * len(w) // 100) for k, w in words.items()}
-    seen = {r[0]: r[1] for r in found.groupBy("token").count().collect()}  # at most one row per template token
-    order = {k: sorted(w, key=lambda x: (seen.get(x, 0), x)) for k, w in words.items()}
-    blocks = rows.select("row", F.explode(F.split("text", "\n")).alias("block"))
-    vocabulary = F.array(*map(F.lit, sorted(set().union(*words.values()))))
-    blocks = blocks.select("row", F.array_intersect(_words(F.col("block")), vocabulary).alias("own")).where(F.size("own") >= min(need.values()))
-    tests = []
-    for k, w in order.items():
-        whole = F.array(*map(F.lit, w))
-        first = F.array(*map(F.lit, w[: len(w) - need[k] + 1]))
-        common = F.size(F.array_intersect(whole, F.col("own")))
-        # places are counted from 1: from the first shared one on, enough tokens must be left
-        place = F.array_position(whole, F.element_at(F.array_intersect(first, F.col("own")), 1))
-        passes = F.arrays_overlap(F.col("own"), first) & (F.size("own") >= need[k])
-        tests.append(F.when(passes, F.when(len(w) - place + 1 >= need[k], F.struct(F.lit(k).alias("label"), (common / F.lit(len(w))).alias("containment")))))
-    hits = blocks.select("row", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("row", "x.label", "x.containment")
+    tokens = templates.select("template", F.size("words").alias("size"), "label", F.explode("words").alias("token"))
+    seen = found.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    order = Window.partitionBy("template").orderBy(F.coalesce("seen", F.lit(0)), "token")
+    need = F.expr(f"(size * {int(percent)} + 99) div 100").cast("int")
+    ranked = tokens.join(seen, "token", "left").withColumn("place", F.row_number().over(order) - 1).withColumn("need", need)
+    return ranked.where("place <= size - need").select("token", "place", "label", "template", "size", "need")
+
+
+def block_matches(blocks: DataFrame, index: DataFrame, templates: DataFrame, percent: int) -> DataFrame:
+    """(row, label, containment) of every block (row, own: its distinct template words) that meets a threshold."""
+    tokens = blocks.select("row", "own", F.monotonically_increasing_id().alias("block"), F.explode("own").alias("token"))
+    pairs = tokens.join(index, "token").where(F.size("own") >= F.col("need"))
+    # places are counted from 0: from the first shared one on, enough tokens must be left
+    first = pairs.groupBy("block", "template").agg(F.min("place").alias("place"), F.first("row").alias("row"), F.first("own").alias("own"), F.first("size").alias("size"), F.first("need").alias("need"))
+    passed = first.where("size - place >= need").join(templates.select("template", "label", "words"), "template")
+    hits = passed.select("row", "label", (F.size(F.array_intersect("words", "own")) / F.col("size")).alias("containment"))
     return hits.where(F.col("containment") * 100 >= percent).groupBy("row", "label").agg(F.max("containment").alias("containment"))
 
 
-def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_words, places per base label, template hits): one row per document."""
+def _blocks(words: Column, wide: int) -> Column:
+    """Windows of 2 ``wide`` words, one at every ``wide``-th word."""
+    last = F.greatest(F.lit(0), F.ceil(F.size(words) / wide).cast("int") - 2)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * wide + 1, F.lit(2 * wide)))
+
+
+def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_words, places per base label, template hits): one row per document.
+
+    ``templates``: texts by label, or a table (label, text) with any number of texts a label; it is read to the driver.
+    """
     keep = Scratch(spark, "licenses")
-    templates = templates or TEMPLATES
-    words = {k: template_words(t) for k, t in templates.items()}
-    vocabulary = sorted(set().union(*words.values()))
-    least = min(-(-percent * len(w) // 100) for w in words.values())
+    if isinstance(templates, DataFrame):
+        given = [(r.label, r.text) for r in templates.select("label", "text").collect()]  # the parameter, not the corpus
+    else:
+        given = list((TEMPLATES if templates is None else templates).items())
+    given = [(k, t, w) for k, t in given if k is not None and t is not None and (w := template_words(t))]
+    vocabulary = sorted({x for _, _, w in given for x in w}) or [""]
+    least = min((-(-percent * len(w) // 100) for _, _, w in given), default=2**31 - 1)
+    table = keep.keep(spark.createDataFrame([(i, k, w) for i, (k, _, w) in enumerate(given)], "template int, label string, words array<string>"), "templates")
+    wide = block_words({i: t for i, (_, t, _) in enumerate(given)})
+    known = F.array(*map(F.lit, vocabulary))
     text = F.coalesce(F.col("text"), F.lit(""))
     all_words = _words(text)
     rows = docs.select("doc_id", text.alias("text"), all_words.alias("words"))
-    rows = rows.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("tokens"))
     # a text with fewer template words than any template needs has no block to test
-    rows = rows.select("doc_id", "n_words", _base(F.col("text")).alias("base"), "tokens", F.when(F.size("tokens") >= least, F.col("text")).alias("text"))
+    tokens = F.array_intersect("words", known)
+    blocks = F.filter(F.transform(_blocks(F.col("words"), wide), lambda w: F.array_intersect(w, known)), lambda w: F.size(w) >= least)
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), _base(F.col("text")).alias("base"), "words", tokens.alias("tokens"))
+    rows = rows.select("doc_id", "n_words", "base", "tokens", F.when(F.size("tokens") >= least, blocks).alias("blocks"))
     rows = keep.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    hits = block_matches(keep, rows.where("text IS NOT NULL").select("row", "text"), rows.select(F.explode("tokens").alias("token")), templates, percent)
-    hits = hits.groupBy("row").agg(F.collect_set("label").alias("labels"), F.max("containment").alias("containment"))  # at most one label a template
+    index = keep.keep(template_index(table, rows.select(F.explode("tokens").alias("token")), percent), "index")
+    hits = block_matches(rows.select("row", F.explode("blocks").alias("own")), index, table, percent)
+    hits = hits.groupBy("row").agg(F.collect_set("label").alias("labels"), F.max("containment").alias("containment"))  # at most one row a label
     hits = keep.keep(hits, "hits")
     return rows.select("row", "doc_id", "n_words", "base").join(hits, "row", "left").drop("row")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import PERCENT, TEMPLATES, template_words
+from .license_scan import PERCENT, TEMPLATES, block_words, template_words
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,6 +48,7 @@ SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
 _T = ", ".join(f"('{k}', [{', '.join(f"'{w}'" for w in template_words(t))}])" for k, t in TEMPLATES.items())
+_N = block_words(TEMPLATES)
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LICENSES = rf"""
@@ -60,8 +61,7 @@ p AS (
     [i FOR i IN range(0, len(ws)) IF ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license'] AS gpl,
     [i FOR i IN range(0, len(ws)) IF ws[i + 1] = 'all' AND ws[i + 2] = 'rights' AND ws[i + 3] = 'reserved'] AS res
   FROM w
-), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
-), lw AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_W}')) AS ws FROM lines
+), lw AS (SELECT doc_id, list_distinct(unnest([ws[{_N} * i + 1 : {_N} * i + 2 * {_N}] FOR i IN range(0, greatest(1, CAST(ceil(len(ws) / {_N}.0) AS BIGINT) - 1))])) AS ws FROM w
 ), hits AS (
   SELECT doc_id, label, max(len(list_intersect(t.ws, lw.ws)) / CAST(len(t.ws) AS DOUBLE)) AS c FROM lw, t
   WHERE 100 * len(list_intersect(t.ws, lw.ws)) >= {PERCENT} * len(t.ws) GROUP BY ALL
