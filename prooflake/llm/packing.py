@@ -165,7 +165,8 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, window: int = 20
     plan = spark.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 5))  # a few runs per length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = pieces.join(first, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank")).alias("at"))
+    # `first` has a row for each length and input partition: it is never sent whole to a task
+    placed = pieces.join(first.hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank")).alias("at"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
