@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels as K
 from .components import components
@@ -363,7 +364,11 @@ def _block_product(percent: int):
 
 @dataclass
 class Joined:
-    """documents: doc_id, n_shingles, set_id, component_id.  links: verified pairs that connect set representatives."""
+    """documents: doc_id, n_shingles, set_id, component_id, group_id, first.  links: verified pairs that connect sets.
+
+    group_id tells components apart where ids repeat; first: the row has the smallest id of its group, and of the sets
+    with that id the one with the smallest set_id (rows without a set or an id are all first).
+    """
 
     documents: DataFrame
     links: DataFrame
@@ -490,13 +495,28 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: in
     keep.drop("product", "pairs", "need", "sets", *(f"open-{k}" for k in range(turn + 1)))
 
     least = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
-    least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("sig"), "component_id")
-    found = keep.keep(classes.join(least, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")), "found")
-    documents = meta.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    heads = least.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
+    least = least.join(heads, "component").select(F.col("node").alias("sig"), "component", "head")
+    found = classes.join(least, "sig", "left").select("sig", F.coalesce("head.rep", "rep").alias("component_id"), F.coalesce("component", "sig").alias("group_id"), (F.coalesce("head.node", "sig") == F.col("sig")).alias("head"))
+    found = keep.keep(found, "found")
+    first = F.coalesce(F.col("head") & (F.col("doc_id") == F.col("component_id")), F.lit(True))
+    documents = meta.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_id", first.alias("first"))
     a, b = (classes.select(F.col("sig").alias(x), F.col("rep").alias(f"doc_{x}")) for x in "ab")
     return Joined(documents, functools.reduce(DataFrame.union, links).join(a, "a").join(b, "b").select("doc_a", "doc_b").distinct())
 
 
+def set_ids(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """``docs`` with a column ``set_id``: the same id as in ``Joined.documents``, null without words."""
+    schema = StructType([*docs.schema, StructField("set_id", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [set_hash(g) if len(g) else None for _, g in _sets(b, n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], names=[*b.schema.names, "set_id"])
+
+    return docs.mapInArrow(K.lean(run), schema)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return ngram_join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).documents.select("doc_id", "n_shingles", "component_id")
