@@ -1,3 +1,7 @@
+import re
+import time
+from html.parser import HTMLParser
+
 import duckdb
 import numpy as np
 import pytest
@@ -14,18 +18,18 @@ VECTORS = "vec_id long, embedding array<float>, label int, q string, score long"
 
 
 def plain_top(rows, k=5, every=50):
-    ok = [(i, np.floor(np.array(v, np.float64) * 256)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
-    out, done = [], set()
-    for i, q in ok:
-        if i % every or i in done:
-            continue
-        done.add(i)
+    ok = [(i, np.floor(np.array(v, np.float64) * 256), v) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
+    out, least = [], {}
+    for i, q, v in ok:
+        if i % every == 0 and (i not in least or v < least[i][1]):
+            least[i] = q, v
+    for i, (q, _) in least.items():
         scored = []
-        for j, v in ok:
+        for j, v, _ in ok:
             if j != i:
                 n = min(len(q), len(v))
                 scored.append((-sum(int(a) * int(b) for a, b in zip(q[:n], v[:n])), j))
-        out += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scored)[:k], 1)]
+        out += [(i, r, j, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, j) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
 
 
@@ -36,7 +40,7 @@ def test_topk(spark, sf, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 1, 16))]) for i in range(1500)]
     rows += [(2000 + i, rows[7][1]) for i in range(300)]  # ties
-    rows += [(50, rows[50][1]), (5000, None), (5001, [None, 1.0]), (5002, [float("nan")] * 16), (5003, [float("inf")] * 16), (5050, [1.0, -1.0]), (None, [1.0] * 16), (5051, [])]
+    rows += [(50, rows[50][1]), (5000, None), (5001, [None, 1.0]), (5002, [float("nan")] * 16), (5003, [float("inf")] * 16), (5050, [1.0, -1.0]), (None, [1.0] * 16), (5051, []), (5100, None), (5100, [1.0, 2.0]), (5100, [0.5, 9.0, 1.0])]
     spark.createDataFrame([(*r, 0, "x", 1) for r in rows], VECTORS).repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sorted(map(tuple, topk.op6_topk(spark, str(tmp_path)).collect())) == plain_top(rows)
 
@@ -48,23 +52,39 @@ def test_topk_of_few_and_huge(spark, tmp_path):
         spark.createDataFrame([(*x, 0, "x", 1) for x in r], VECTORS).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         assert sorted(map(tuple, topk.op6_topk(spark, f"{tmp_path}/{name}").collect())) == plain_top(r)
     block = topk.ImpactBlock(np.array([i for i, _ in rows]), topk._matrix([np.floor(np.array(v) * 256) for _, v in rows]))
-    ids, scores = block.search(block.matrix[2:3], np.array([1]), 2)[0]
+    ids, scores = block.search(block.matrix[2], 1, 2)
     assert ids.tolist() == [0, 50] and scores[0] > 0 > scores[1]
+    spark.createDataFrame([(*x, 0, "x", 1) for x in rows], VECTORS).write.parquet(f"{tmp_path}/huge/embeddings.parquet")
+    got = sorted(map(tuple, topk.op6_topk(spark, f"{tmp_path}/huge").collect()))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)] and got[1][3] == -(2**63)
 
 
-def test_block_search_equals_brute_force(monkeypatch):
-    monkeypatch.setattr(topk, "FEW", 8)
+@pytest.mark.parametrize("scale", [0, 1, 300])
+def test_block_search_equals_brute_force(scale):
     rng = np.random.default_rng(8)
-    for scale in (1, 300):
-        m = rng.integers(-scale, scale + 1, (600, 12)).astype(np.int64)
-        block = topk.ImpactBlock(np.arange(600), m)
-        own = rng.integers(0, 600, 20)
-        assert all(len(x) < 300 for x in block._possible(m[own], own, 5))
-        for q, (ids, scores) in zip(own.tolist(), block.search(m[own], own, 5)):
-            s = m @ m[q]
-            s[q] = s.min() - 1
-            want = np.lexsort((np.arange(600), -s))[:5]
+    m = rng.integers(-scale, scale + 1, (3000, 12)).astype(np.int64)
+    block = topk.ImpactBlock(np.arange(3000), m)
+    own = rng.integers(0, 3000, 30)
+    for q in own.tolist():
+        s = m @ m[q]
+        s[q] = s.min() - 1
+        want = np.lexsort((np.arange(3000), -s))[:5]
+        for known in (-np.inf, int(s[want[-1]])):
+            ids, scores = block.search(m[q], q, 5, known)
             assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+            assert set(np.flatnonzero(s >= s[want[-1]])) - {q} <= set(block.possible(m[q], q, 5, known).tolist())
+
+
+def test_search_stops_before_all_postings_are_read():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (40, 32))
+    m = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.2, (4000, 32)))).astype(np.int64)
+    block = topk.ImpactBlock(np.arange(4000), m)
+    for q in range(50):
+        s = m @ m[q]
+        s[q] = s.min() - 1
+        assert block.search(m[q], q, 5)[0].tolist() == np.lexsort((np.arange(4000), -s))[:5].tolist()
+    assert block.read < 0.7 * 50 * m.size
 
 
 # ---- HTML
@@ -131,13 +151,94 @@ def test_every_visible_word_is_kept():
         assert sorted(text.replace("-", " ").split()) == sorted(words)
 
 
+def hostile():
+    rng = np.random.default_rng(1)
+    return {
+        "tags without end": "<a " * 350_000,
+        "quotes without end": "<a '>' " * 150_000 + '"',
+        "many quotes": "<a \"'<a '" * 100_000 + ">x",
+        "deep": "<div>" * 200_000 + "x",
+        "paragraphs under a button": "<p><button>" + "<div>" * 150_000 + "x",
+        "stray ends": "<i>" * 100_000 + "</b>" * 100_000 + "x",
+        "raw without end": "<title>" * 140_000,
+        "comments": "<!--" * 250_000,
+        "brackets": "<" * 1_000_000,
+        "ends": "</" * 500_000 + ">",
+        "mixed": "".join(rng.choice(["<", ">", "'", '"', "a", " ", "=", "/", "!", "-", "<a ", "</a>"], 300_000)),
+    }
+
+
+@pytest.mark.parametrize("name", hostile())
+def test_hostile_pages_take_linear_time(name):
+    start = time.time()
+    html_render.render(hostile()[name])
+    assert time.time() - start < 25  # some seconds on a slow machine; minutes to hours if it were quadratic
+
+
+def test_spanning_cells():
+    start = time.time()
+    page = "<table>" + "<tr><td rowspan=1000 colspan=300>" * 500 + "</table>"
+    assert html_render.render(page) == ""
+    assert html_render.render("<table><tr><td rowspan=3 colspan=2>ab<td>c<tr><td>d<td rowspan=2>e<tr><td>f</table>") == "ab  c\n    d  e\n    f"
+    assert time.time() - start < 10
+
+
+class Plain(HTMLParser):
+    """Visible words of a well-formed page by another reader, and whether each stands in a hidden element."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_render.VOID:
+            a = dict(attrs)
+            self.open.append((tag, tag in html_render.HIDDEN or "hidden" in a or "none" in (a.get("style") or "")))
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words += data.split()
+
+
+def test_visible_words_equal_another_reader():
+    rng = np.random.default_rng(7)
+    inline, block = ["b", "i", "span", "a", "em"], ["div", "section", "ul><li", "ol><li", "blockquote", "table><tr><td", "h2", "script", "style", "template", "dl><dd", "p"]
+
+    def page(depth, n=[0]):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            n[0] += 1
+            out.append(f" w{n[0]} ")
+            if depth and rng.random() < 0.8:
+                kinds = inline if rng.random() < 0.4 else block
+                tags = kinds[rng.integers(len(kinds))].split("><")
+                a = ["", " hidden", " style='display:none'", " title=\"a > b\""][rng.integers(4)]
+                code = tags[0] in ("script", "style")
+                body = "if (a < b) { w }" if code else f"w{n[0]}x" if tags[0] in ("p", "h2") else page(depth - 1)
+                out.append(f"<{tags[0]}{a}>" + "".join(f"<{t}>" for t in tags[1:]) + body + "".join(f"</{t}>" for t in reversed(tags)))
+        return "".join(out)
+
+    for _ in range(150):
+        source = page(4)
+        if re.search(r"<(b|i|span|a|em)[ >](?:(?!</\1>).)*<(p|h2)", source):
+            continue
+        want = Plain()
+        want.feed(source)
+        got = re.sub(r"(?m)^\s*((-|\d+\.) +)*", "", html_render.render(source))
+        assert sorted(re.findall(r"w\d+x?", got)) == sorted(want.words)
+
+
 # ---- pipeline
 
 
 def test_pipeline_stages(spark, tmp_path, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     again = docs.where("doc_id < 5")  # repeated rows
-    extra = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "", None, "s", 0), (9003, "token = abcdefghijkl " + " ".join(f"w{i}" for i in range(80)), "en", None, None)], docs.schema)
+    one, two = (r.text for r in corpus_pipeline.quality_rules(spark, docs, sf).where("lang = 'en' AND n_chars BETWEEN 900 AND 2000").orderBy("doc_id").limit(2).collect())
+    extra = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "", None, "s", 0), (9003, f"{one} token = abcdefghijkl {two}", "en", None, None)], docs.schema)
     docs.unionByName(again).unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
     folder = str(tmp_path)
     state = spark.read.parquet(f"{folder}/documents.parquet")
@@ -164,11 +265,31 @@ def test_pipeline_stages(spark, tmp_path, sf):
     before, after = seen["secret_scan"]
     assert len(before) == len(after)
     texts = {r.doc_id: r.text for r in after}
-    assert texts[9003].startswith("[SECRET] w0") and not any("AKIA" in t and "AKIA" in t.replace("AKIA ", "") and any(len(w) >= 20 and w.startswith("AKIA") for w in t.split()) for t in texts.values())
+    assert texts[9003] == f"{one} [SECRET] {two}" and not any("AKIA" in t and "AKIA" in t.replace("AKIA ", "") and any(len(w) >= 20 and w.startswith("AKIA") for w in t.split()) for t in texts.values())
     before, after = seen["packing"]
     check_packing([(r.doc_id, r.text) for r in before], after)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    ddl = "doc_id long, text string, set_id string, __row string, first int"
+    for rows, want in (
+        ([(1, a), (1, b), (2, a)], [(1, a), (1, b)]),
+        ([(1, a), (2, b), (2, a)], [(1, a), (2, b)]),
+        ([(1, a), (1, a), (2, a + " more")], [(1, a)]),
+        ([(3, c), (3, c + " end"), (2, b), (4, c), (None, a), (None, a), (5, None), (5, None), (6, ""), (6, " ")], None),
+    ):
+        docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], ddl)
+        out = corpus_pipeline.one_of_each_group(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        if want is None:
+            assert len([r for r in got if r[0] == 3]) == 1 and [r for r in got if r[0] == 4] == []
+            assert sorted(map(str, (r for r in got if r[0] != 3))) == sorted(map(str, [(2, b), (None, a), (None, a), (5, None), (5, None), (6, ""), (6, " ")]))
+        else:
+            assert sorted(got) == sorted(want)
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert got and {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(got[0].asDict())

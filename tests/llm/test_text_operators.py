@@ -1,6 +1,9 @@
 import hashlib
 import itertools
+import math
 import re
+import textwrap
+import time
 from collections import Counter
 
 import duckdb
@@ -80,6 +83,115 @@ def test_battery_on_random_and_plain_tokens(spark):
     assert all(abs(r.a - r.p) < 1e-6 for r in z.select(secrets_scan.upper_tail(z.z).alias("a"), "p").collect())
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def wilson(x, df):
+    return tail(((max(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
+def plain_battery(t):
+    """(passes the tests against randomness, -log10 of the chance that text looks so) of a token, with plain loops."""
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t):
+        name, a = "hex", 16
+    elif re.fullmatch("[A-Z2-7]+|[a-z2-7]+", t):
+        name, a = "base32", 32
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t):
+        name, a = "base36", 36
+    else:
+        name, a = ("base62", 62) if re.fullmatch("[0-9A-Za-z]+", t) else ("base64", 64)
+    n, sq = len(t), sum(c * c for c in Counter(t).values())
+    cls = [0 if "0" <= c <= "9" else 1 if "A" <= c <= "Z" else 2 for c in t]
+    changes = sum(x != y for x, y in zip(cls, cls[1:]))
+    p_chi2 = wilson(a / n * sq - n, a - 1)
+    rate = (1 - sum((c / n) ** 2 for c in Counter(cls).values())) * n / (n - 1)
+    p_runs = 2 * tail(abs(changes - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - min(rate, 0.999)) + 1e-9))
+    x = [float(ord(c)) for c in t]
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x)
+    r = sum((u - m) * (v - m) for u, v in zip(x, x[1:])) / var if var > 1e-6 else 1.0
+    p_serial = 2 * tail(abs(r + 1 / n) * math.sqrt(n))
+    rate = (n - 1) * (0.1 if name in ("hex", "base32", "base36") else 0.25)
+    many = math.fsum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(changes, max(changes, int(rate)) + int(20 * rate**0.5) + 80))
+    pairs, rate = (sq - n) // 2, n * (n - 1) / 2 * 0.065
+    few = sum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(pairs + 1)) if name != "hex" else 1.0
+    digits = cls.count(0)
+    inside = 1.0 if digits in (0, n) else 0.4 ** (n - digits) if name == "hex" else 0.6**digits if name == "base32" else 1.0
+    y = -sum(math.log(min(1.0, max(v, 1e-16))) for v in (many, few, inside))
+    p = min(1.0, math.exp(-y) * (1 + y + (y * y / 2 if name in ("hex", "base32") else 0)))
+    return min(p_chi2, p_runs, p_serial) * 3 >= 0.01, -math.log10(max(p, 1e-300)), (name, math.floor(math.log2(n) * 2))
+
+
+def tokens_of(rng):
+    sets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    return [(k, n, "".join(rng.choice(list(v), n))) for k, v in sets.items() for n in (20, 32, 40, 64, 300, 3000) for _ in range(40)]
+
+
+def test_battery_equals_plain_loops(spark):
+    rows = tokens_of(np.random.default_rng(3)) + [("text", 40, x) for x in ("a_long_identifier_of_many_words_in_text", "2024/01/02/the-title-of-some-article-12345", "1234567890123456789012345", "TheseAreManyWordsJoinedInOneIdentifierName")]
+    df = spark.createDataFrame(rows, "kind string, n0 int, token string")
+    got = secrets_scan.battery(df).selectExpr("kind", "n0", "token", "least(p_chi2, p_runs, p_serial) * 3 >= 0.01 AS ok", "-log10(greatest(p_text, 1e-300D)) AS level").collect()
+    differ, found = 0, Counter()
+    for r in got:
+        ok, level, _ = plain_battery(r.token)
+        differ += ok != r.ok  # the closed form of the tail may fall on the other side
+        assert abs(level - r.level) < 0.12 + 0.06 * level, (r.token, level, r.level)
+        found[r.kind, r.n0] += r.ok and r.level > 2.5
+    assert differ <= 3
+    assert found["text", 40] == 0
+    assert all(found[k, n] >= 30 for k in ("hex", "base32", "base36", "base62") for n in (40, 64, 300, 3000)), found
+
+
+def test_random_spans_equal_plain_rules(spark, sf, frame, table):
+    rng = np.random.default_rng(4)
+    rows = docs_of(spark, sf) + [(50_000 + i, f"see {t} and password={t[:9]} end") for i, (_, n, t) in enumerate(tokens_of(rng)) if n < 300]
+    tested, families = [], {}
+    for i, t in rows:
+        base = base_spans(t or "")
+        for m in re.finditer(r"(?a:[A-Za-z0-9+/_-]{20,})", t or ""):
+            if not any(s < m.end() and m.start() < e for s, _, e in base):
+                ok, level, family = plain_battery(m[0])
+                tested.append((i, m.start(), m.end(), ok, level, family))
+                families.setdefault(family, []).append(level)
+    least = {}
+    for f, levels in families.items():
+        p = sorted(10.0**-x for x in levels)
+        good = [x for k, x in enumerate(p, 1) if x <= secrets_scan.Q * k / len(p)]
+        least[f] = -math.log10(max(good)) if good else math.inf
+    want = {(i, s, e) for i, s, e, ok, level, f in tested if ok and level >= least[f]}
+    out = secrets_scan.op1_secret_scan(spark, table(frame(rows))).collect()
+    got = {(r.doc_id, int(x[1]), int(x[2])) for r in out for x in (y.split(":") for y in r.spans.split(",") if y) if x[0] == "random"}
+    assert len(want) > 300 and len(got ^ want) <= 0.01 * len(want)  # bins and closed forms may differ at the edge
+
+
+def test_hostile_texts_are_scanned_in_proportion(spark, frame, table):
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    random = "".join(alphabet[rng.integers(0, 64, 1_000_000)])
+    many = "".join(f"{'0123456789abcdef' * 2} token=abcdefg{i} {'Zz9' * 8} " for i in range(20_000))
+    texts = [(1, "Z" * 70_000), (2, random), (3, many), (4, "password " * 50_000), (5, "/" * 100_000)]
+    start = time.time()
+    got = {r.doc_id: r for r in secrets_scan.op1_secret_scan(spark, table(frame(texts))).collect()}
+    assert time.time() - start < 120
+    assert got[1].n_random == 0 and got[2].spans == "random:0:1000000" and got[5].n_random == 0
+    check_secrets(texts, got.values())
+    clean = {r.doc_id: r.text for r in secrets_scan.redact(spark, frame(texts)).collect()}
+    assert clean[2] == "[SECRET]" and clean[4] == texts[3][1] and clean[3].count("[SECRET]") == got[3].n_hex + got[3].n_assign + got[3].n_random
+    assert re.sub(r"\[SECRET\]", "", clean[3]).replace(" ", "").replace("Zz9", "") == ""
+
+
+def test_tails_equal_exact_sums(spark):
+    rows = [(float(k), rate) for rate in (0.5, 5.0, 80.0, 800.0, 20_000.0) for k in {0, 1, 3, int(rate * 0.7), int(rate * 0.9), int(rate), int(rate * 1.1) + 1, int(rate * 1.3)}]
+    df = spark.createDataFrame(rows, "k double, rate double")
+    for r in df.select("*", secrets_scan.poisson_upto(df.k, df.rate).alias("upto"), secrets_scan.poisson_from(df.k, df.rate).alias("least")).collect():
+        term = lambda k: math.exp(k * math.log(r.rate) - r.rate - math.lgamma(k + 1))  # noqa: E731, B023
+        upto, least = math.fsum(map(term, range(int(r.k) + 1))), math.fsum(map(term, range(int(r.k), int(max(r.k, r.rate) + 10 * r.rate**0.5 + 60))))
+        for want, got in ((upto, r.upto), (least, r.least)):
+            if want > 1e-18:
+                assert abs(math.log10(want) - math.log10(got)) < 0.08 + 0.06 * abs(math.log10(want)), (r, want)
+
+
 def test_thresholds_equal_step_up(spark):
     rng = np.random.default_rng(2)
     levels = rng.integers(0, 120, 500).tolist()
@@ -204,7 +316,30 @@ def test_licenses_equal_sql(spark, sf, frame, table):
         want = sorted(map(str, (dict(zip(rel.columns, r)) | {} for r in rel.fetchall())))
         assert want == sorted(str({c: r[c] for c in rel.columns}) for r in df.collect())
     got = {r.doc_id: r for r in license_scan.op7_license_scan(spark, where).collect()}
-    assert got[30].n_base == 4 and got[30].base_labels == "cc-by,reserved" and got[31].labels == "mit" and got[32].labels == "" and got[33].n_base == 0
+    assert got[30].n_base == 4 and got[30].base_labels == "cc-by,reserved" and got[31].labels == "mit" and got[32].labels == "mit" and got[33].n_base == 0
+
+
+def test_wrapped_templates_of_a_table_are_found(spark, frame):
+    rng = np.random.default_rng(6)
+    words = [f"term{i}" for i in range(3000)]
+    texts = {f"l{k}": " ".join(rng.choice(words, rng.integers(5, 200))) for k in range(60)}
+    docs = []
+    for i, (k, t) in enumerate(texts.items()):
+        kept = [w for j, w in enumerate(t.split()) if i % 3 or j % 10]  # every third without a tenth of its words
+        filler = " ".join(rng.choice(words, 300))
+        docs.append((i, f"{filler}\n\n * " + "\n * ".join(textwrap.wrap(" ".join(kept), 72)) + f"\n{filler}"))
+    docs += [(100, " ".join(rng.choice(words, 4000))), (101, None), (102, "")]
+    wide = license_scan.block_words(texts)
+    sets = {k: set(license_scan.template_words(t)) for k, t in texts.items()}
+    want = {}
+    for i, t in docs:
+        w = (t or "").replace("*", " ").split()
+        blocks = [set(w[a : a + 2 * wide]) for a in range(0, max(1, len(w)), wide)]
+        want[i] = sorted(k for k, s in sets.items() if any(100 * len(s & b) >= 80 * len(s) for b in blocks))
+    table = spark.createDataFrame([*texts.items(), (None, "x"), ("none", None), ("none", "")], "label string, text string")
+    got = {r.doc_id: sorted(r.labels or []) for r in license_scan.scan(spark, frame(docs), table).collect()}
+    assert got == want and all(f"l{i}" in got[i] for i in range(60) if i % 3)
+    assert license_scan.scan(spark, frame(docs), {}).where("labels IS NOT NULL").count() == 0
 
 
 # ---- quality

@@ -172,7 +172,7 @@ def check_warc(expected, got):
 
 def test_warc(spark, sf, table):
     check_warc([(r.page_id, r.url, r.html) for r in rows(spark, sf, "pages")], warc.op3_warc(spark, sf, segment_bytes=1000).collect())
-    odd = [(1, "u", None), (2, None, ""), (3, "a b\nc", "WARC/1.1\r\n\r\n0\r\n\r\n"), (4, "x", "é中😀" * 5000), (5, "x", "é中😀" * 5000), (6, "x", "b"), (6, "x", "b"), (None, "x", "b"), (7, "x", "b")]
+    odd = [(1, "u", None), (2, None, ""), (3, "a b\nc", "WARC/1.1\r\n\r\n0\r\n\r\n"), (4, "x", "é中😀" * 5000), (5, "x", "é中😀" * 5000), (6, "x", "b"), (6, "x", "b"), (None, "x", "b"), (7, "x", "b"), (8, "x", "p"), (9, "x", "q"), (11, "x", "p"), (11, "x", "q"), (12, "x", "p"), (12, "x", "zzz"), (8, "y", "q")]
     check_warc(odd, warc.op3_warc(spark, table(spark.createDataFrame([(*r, "d", "b", "r") for r in odd], PAGES), "pages"), segment_bytes=700).collect())
 
 
