@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prooflake.llm import ngram_join, packing, quality, secrets_scan
@@ -16,30 +16,52 @@ from prooflake.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
+    """Documents that pass the base rules and lie in their language's perplexity band.
+
+    Null, empty and blank texts fail the base rules and go; texts are measured whole, however long; repeated rows and
+    documents that measure the same share a verdict; a null language is a language of its own; an empty table gives no
+    rows; all columns stay as they are, whatever their names.
+    """
     return quality.Quality(spark, docs).filter(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of repeated rows one."""
+    """Of each group of near duplicates the document with the smallest id; of repeated rows one.
+
+    Rows are told apart by id and text: of an id with several texts each is judged by its own group (within a group
+    the one with the smallest set id stays).  Null, empty and blank texts link with nothing and all stay, as do rows
+    with a null id; whole texts are compared; an empty table gives no rows; all columns stay as they are.
+    """
     keep = Scratch(spark, "one-of-each")
-    found = ngram_join.ngram_join(spark, docs).documents
-    gone = keep.keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = keep.keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+    found = keep.keep(ngram_join.ngram_join(spark, docs).documents.where("doc_id IS NOT NULL").select("doc_id", "set_id", "first"), "found")
+    gone = found.where("NOT first").select("doc_id", "set_id").distinct()
+    several = keep.keep(found.where("set_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "several")
+    key = docs["doc_id"].cast("long")
+    once = docs.join(several, key == F.col("__id"), "left_anti")
+    left = once.join(gone.select(F.col("doc_id").alias("__id")).distinct(), once["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    # ids of several rows: by id and text
+    again = ngram_join.set_ids(docs.join(several, key == F.col("__id"), "left_semi").select(F.col("doc_id").cast("long").alias("__id"), "text", F.struct(*docs.columns).alias("__row")))
+    gone = gone.select(F.col("doc_id").alias("__id"), "set_id")
+    same = Window.partitionBy("__id", "set_id").orderBy("__row")
+    again = again.join(gone, ["__id", "set_id"], "left_anti").withColumn("__n", F.when(F.col("set_id").isNull(), 1).otherwise(F.row_number().over(same))).where("__n = 1")
+    return left.select(*docs.columns).unionByName(again.select("__row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All documents, their secrets replaced by a mark.
+
+    Null and empty texts stay as they are; whole texts are scanned; every row stays, repeated ones too; n_chars follows
+    the text; an empty table gives no rows; other columns stay as they are.
+    """
     return secrets_scan.redact(spark, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in windows of 2048 ids."""
+    """Token pieces of all documents and their places in windows of 2048 ids.
+
+    A null or empty text is a document of the end id alone; long texts are cut into full windows, nothing is dropped;
+    repeated rows are documents of their own; an empty table gives no rows; other columns are left out.
+    """
     import public_tokenizers
 
     return packing.pack(spark, docs.select(F.col("doc_id"), F.col("text")), public_tokenizers.path(packing.VOCABULARY))
