@@ -394,11 +394,11 @@ GRAMMAR: dict[str, list[tuple[set[int] | None, list]]] = {
     "type": [({L}, [{L}, "type", "typerest"]), (_HEADS | _pool("tyvar"), [_HEADS | _pool("tyvar")])],
     "typerest": [({ARROW}, [{ARROW}, "type", {R}]), ({COMMA}, [{COMMA}, "type", "typeargs"]), ({R}, [{R}, _HEADS])],
     "typeargs": [({COMMA}, [{COMMA}, "type", "typeargs"]), ({R}, [{R}, _HEADS])],
-    "term": [({L}, [{L}, "inner", {R}]), (_pool("var"), [_pool("var"), {COLON}, "type"]), (_pool("name"), [_pool("name")])],
+    "term": [({L}, [{L}, "inner", {R}]), (_pool("var"), [_pool("var"), {COLON}, "type"]), (_pool("name"), [_pool("name")]), ({OPERATORS["="]}, [{OPERATORS["="]}])],
     "inner": [
         ({OPERATORS[o] for o in ("!", "?", "\\")}, [{OPERATORS[o] for o in ("!", "?", "\\")}, _pool("var"), {COLON}, "type", {DOT}, "term"]),
         ({OPERATORS["~"]}, [{OPERATORS["~"]}, "term"]),
-        ({L} | _pool("var") | _pool("name"), ["term", "second"]),
+        ({L, OPERATORS["="]} | _pool("var") | _pool("name"), ["term", "second"]),
     ],
     "second": [(_BIN, [_BIN, "term"]), ({L} | _pool("var") | _pool("name"), ["term"])],
 }

@@ -62,6 +62,32 @@ def prefix_theorems(df: DataFrame, steps: int | None = None, theory: TheoryMaker
     return df.select("cert_id", "cert_toks", "header").mapInPandas(run, "cert_id string, step_id int, hyps array<string>, concl string, key string")
 
 
+def prefix_verdicts(df: DataFrame, theory: TheoryMaker = proofs.number_theory) -> DataFrame:
+    """(cert_id, k, ok, reason, concl) of rows (cert_id, cert_toks, header, k): do the first k steps replay?
+
+    concl: the theorem of step k, null for a refused prefix and for k = 0.  A prefix of more steps than there are is
+    refused, as is a negative or null one; a certificate that can't be decoded is refused at every k.
+    """
+
+    def judged(cert, h, k, th: Theory) -> tuple[bool, str, str | None]:
+        try:
+            c = tokens.decode_cert(cert, _header(h), th)
+            if k is None or pd.isna(k) or not 0 <= k <= len(c.steps):
+                return False, f"no prefix of {k} steps", None
+            done = kernel.replay(c, th, steps=int(k))
+        except (LogicError, RecursionError, TypeError) as e:
+            return False, str(e), None
+        return True, "", show(done[-1][1].concl) if done else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        th = theory()
+        for b in batches:
+            out = [(cid, k, *judged(cert, h, k, th)) for cid, cert, h, k in zip(b["cert_id"], b["cert_toks"], b["header"], b["k"], strict=True)]
+            yield pd.DataFrame(out, columns=["cert_id", "k", "ok", "reason", "concl"])
+
+    return df.select("cert_id", "cert_toks", "header", "k").mapInPandas(run, "cert_id string, k int, ok boolean, reason string, concl string")
+
+
 def decoded_steps(df: DataFrame, theory: TheoryMaker = proofs.number_theory) -> DataFrame:
     """(cert_id, pos, step_id, rule, witness_kind, premises): certificates as a relational table."""
 

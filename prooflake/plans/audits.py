@@ -284,6 +284,62 @@ def applicable_rules(spark, sf):
     return s.select("user_id", "d", "pos", (zero(eqs) >= 2).alias("trans"), (zero(conjs) >= 1).alias("conjunct1"), (zero(pool) >= 2).alias("conj"), (zero(pool) >= 1).alias("disch"))
 
 
+#: What stands for the facts that the fifteen rules ask for: equations, conjunctions, quantified and implied steps, and
+#: steps with something free.
+_FACTS = {"eqs": "rule = 'view'", "conjs": "rule = 'click'", "foralls": "rule = 'signup'", "imps": "rule = 'purchase'", "free": "value > 50"}
+#: The least that each rule needs of the steps before.
+APPLICABLE = {
+    "refl": "true", "assume": "true", "beta": "true", "trans": "eqs >= 2", "mk_comb": "eqs >= 2", "abs": "eqs >= 1", "disch": "pool >= 1", "mp": "imps >= 1 AND pool >= 2",
+    "gen": "free >= 1", "spec": "foralls >= 1", "conj": "pool >= 2", "conjunct1": "conjs >= 1", "conjunct2": "conjs >= 1", "eq_mp": "eqs >= 1 AND pool >= 2", "inst": "free >= 1",
+}
+
+
+@query(
+    f"""WITH {STEPS}, s AS (SELECT user_id, d, pos, count(*) OVER w AS pool, {", ".join(f"count(*) FILTER (WHERE {c}) OVER w AS {k}" for k, c in _FACTS.items())} FROM steps
+WINDOW w AS (PARTITION BY user_id, d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, d, pos, {", ".join(f"coalesce({c}, false) AS {k}" for k, c in APPLICABLE.items())} FROM s"""
+)
+def applicable_of_all(spark, sf):
+    """Which of the fifteen rules the steps before each step make possible: one pass over each trace."""
+    w = Window.partitionBy("user_id", "d").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    facts = [F.coalesce(F.count_if(F.expr(c)).over(w), F.lit(0)).alias(k) for k, c in _FACTS.items()]
+    s = steps(spark, sf).select("user_id", "d", "pos", F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("pool"), *facts)
+    return s.select("user_id", "d", "pos", *(F.expr(c).alias(k) for k, c in APPLICABLE.items()))
+
+
+#: Targets of the probes: the rule looked for, the rule that makes it ready, and the least value of a success.
+TARGETS = {"purchase": ("view", 50), "signup": ("click", 20), "click": ("view", 10), "view": ("signup", 80)}
+
+
+def _funnel_sql(target: str, ready: str, least: int) -> str:
+    return f"""SELECT '{target}' AS target, count(*) AS walks, CAST(sum(reach) AS BIGINT) AS reached, CAST(sum(pre) AS BIGINT) AS ready, CAST(sum(open) AS BIGINT) AS open, CAST(sum(sampled) AS BIGINT) AS sampled, CAST(sum(applied) AS BIGINT) AS applied FROM (
+SELECT user_id, d, max(CAST(rule = '{target}' AS INT)) AS reach, max(pre) AS pre, count(*) FILTER (WHERE pre = 1) AS open, count(*) FILTER (WHERE pre = 1 AND rule = '{target}') AS sampled,
+  count(*) FILTER (WHERE pre = 1 AND rule = '{target}' AND value > {least}) AS applied
+FROM (SELECT *, coalesce(max(CAST(rule = '{ready}' AS INT)) OVER (PARTITION BY user_id, d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM steps) GROUP BY user_id, d)"""
+
+
+@query(f"WITH {STEPS} " + " UNION ALL ".join(_funnel_sql(t, *x) for t, x in TARGETS.items()))
+def probe_targets(spark, sf):
+    """Reachability funnel of every registered target; all targets share one pass over the traces."""
+    w = Window.partitionBy("user_id", "d").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = steps(spark, sf)
+    pre = {t: F.coalesce(F.max((F.col("rule") == ready).cast("int")).over(w), F.lit(0)).alias(f"pre_{t}") for t, (ready, _) in TARGETS.items()}
+    s = s.select("user_id", "d", "rule", "value", *pre.values())
+    of = []
+    for t, (_, least) in TARGETS.items():
+        ready, hit = F.col(f"pre_{t}") == 1, F.col("rule") == t
+        of.append(F.struct(F.lit(t).alias("target"), F.max(hit.cast("int")).alias("reach"), F.max(f"pre_{t}").alias("pre"), F.count_if(ready).alias("open"), F.count_if(ready & hit).alias("sampled"), F.count_if(ready & hit & (F.col("value") > least)).alias("applied")))
+    walks = s.groupBy("user_id", "d").agg(F.array(*of).alias("of")).select(F.explode("of").alias("x")).select("x.*")
+    total = {"reached": "reach", "ready": "pre", "open": "open", "sampled": "sampled", "applied": "applied"}
+    return walks.groupBy("target").agg(F.count(F.lit(1)).alias("walks"), *(F.sum(c).alias(k) for k, c in total.items()))
+
+
+@query(f"WITH {_ROUNDS} SELECT d, solved, {r6("avg(solved) OVER (ORDER BY d ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")} AS mean FROM g")
+def rolling_solve_100(spark, sf):
+    """Mean of solved traces over the last hundred rounds."""
+    return Q.rolling(traces(spark, sf).groupBy("d").agg(F.count_if(F.col("last_rule") == "purchase").alias("solved")), "d", "solved", 100)
+
+
 @query(
     f"""WITH {STEPS} SELECT user_id, d, count(DISTINCT CASE WHEN rule = 'view' THEN value END) >= 2 AS two_equations, bool_or(rule = 'click') AS has_conjunction,
 count(DISTINCT CASE WHEN rule = 'view' THEN value END) >= 3 AS three_assumptions, bool_or(rule = 'signup' AND value > 50) AS nested FROM steps GROUP BY user_id, d"""

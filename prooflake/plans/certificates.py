@@ -50,6 +50,13 @@ def prefix_theorems(spark, sf):
     return V.prefix_theorems(V.seed_certs(spark)).select("cert_id", "step_id", F.array_join("hyps", "; ").alias("hyps"), "concl")
 
 
+@query()
+def prefix_verdicts(spark, sf):
+    """Verdict of every prefix of the seeds' proofs, and of one step more than there are."""
+    prefixes = V.seed_certs(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth") + 1)))
+    return V.prefix_verdicts(prefixes).select("cert_id", "k", "ok", "concl")
+
+
 @query()
 def grammar_accept(spark, sf):
     """Grammar acceptance of the seeds' proofs and of the same cut in half."""
