@@ -43,7 +43,7 @@ LEVELS = 16
 #: Possible members that are scored exactly at once: so many, or this part of a block.
 FEW, FEW_PART = 64, 8
 #: Parts of the postings after which the bounds are looked at.
-STEPS = (0.5, 0.75, 0.9, 1)
+STEPS = (0.6, 0.85, 1)
 
 
 def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
