@@ -1,16 +1,16 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
 Components are integers floor(256 x).  Vectors are stored in blocks.  In a block each dimension has a posting list: the
-vectors by descending quantised component, cut into segments of equal level (``LEVELS`` a dimension).  Against a query a
+vectors by descending quantised component, cut into segments of equal level (``LEVELS`` a dimension); a posting holds the component too.  Against a query a
 posting of dimension d is worth at least 0 beyond the least that d can give, whatever the sign of the query's weight
 (for negative weights the list is read from its other end), so each segment has an impact: the most that its postings
-can be worth.  Segments of all dimensions are processed by descending impact; their postings add the least that they
-are worth to their vectors' accumulators.
+can be worth.  Segments of all dimensions are processed by descending impact; their postings add what they are worth
+to their vectors' accumulators.
 
-Proof of stopping: a vector's score is at most its accumulator, plus the quantisation slack of the dimensions in which
-its posting was read, plus the impact of the next segment of each other dimension, for lists are read in order.  Its
-score is at least its accumulator.  A vector whose upper bound lies below the k-th best lower bound, of this block or of
-exact scores found before, can't be among the best k.  Processing stops when few possible members are left, and exactly
+Proof of stopping: a vector's score is at most its accumulator plus the impact of the next segment of each dimension in
+which its posting wasn't read, for lists are read in order.  Its score is at least its accumulator.  A vector whose
+upper bound lies below the k-th best lower bound, of this block or of exact scores (of some candidates of the block, or
+found before), can't be among the best k.  Processing stops when few possible members are left, and exactly
 these are scored again in integers.  Ties at the k-th score stay possible members.
 
 Query blocks are dealt to the buckets of vector blocks by a join on the bucket's number, so vectors move once; each pair
@@ -43,7 +43,9 @@ LEVELS = 16
 #: Possible members that are scored exactly at once: so many, or this part of a block.
 FEW, FEW_PART = 64, 8
 #: Parts of the postings after which the bounds are looked at.
-STEPS = (0.6, 0.85, 1)
+STEPS = (0.6, 0.7, 0.8, 1)
+#: Candidates of a block that are scored exactly first, about: the more, the earlier the proof.
+SEEDS = 1024
 
 
 def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -83,9 +85,11 @@ class ImpactBlock:
             return
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
         self.most = int(np.abs(matrix).max())
+        self.matrix_float = matrix.astype(np.float64)
         self.unit = (self.high - self.low) // LEVELS + 1
         self.level = ((matrix - self.low) // self.unit).astype(np.uint8)
-        self.postings = np.ascontiguousarray(np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32))  # by dimension, ascending level
+        self.postings = np.ascontiguousarray(np.argsort(self.level, axis=0, kind="stable").T.astype(np.intp))  # by dimension, ascending level
+        self.values = np.ascontiguousarray(np.take_along_axis(self.matrix_float.T, self.postings, axis=1))
         count = np.stack([(self.level == k).sum(axis=0) for k in range(LEVELS)], axis=1)  # (dimension, level)
         self.count, self.first = count, np.cumsum(count, axis=1) - count
         self.least = self.low[:, None] + np.arange(LEVELS) * self.unit[:, None]
@@ -100,11 +104,11 @@ class ImpactBlock:
         if len(self.ids) <= few:
             return np.flatnonzero(other)
         w = q[:, None]
-        lower, upper = np.where(w >= 0, w * self.least, w * self.most_of), np.where(w >= 0, w * self.most_of, w * self.least)
+        upper = np.where(w >= 0, w * self.most_of, w * self.least)
         seen = self.count > 0
-        floor = np.where(seen, lower, np.iinfo(np.int64).max).min(axis=1)  # the least that a dimension gives
+        floor = np.where(q >= 0, q * self.low, q * self.high)  # the least that a dimension gives
         base = float(floor.sum())
-        gain, impact = (lower - floor[:, None]).astype(np.float64), (upper - floor[:, None]).astype(np.float64)
+        impact = (upper - floor[:, None]).astype(np.float64)
         dims, levels = np.nonzero(seen & (w != 0))
         by = np.argsort(-impact[dims, levels], kind="stable")
         dims, levels = dims[by], levels[by]
@@ -112,17 +116,22 @@ class ImpactBlock:
         upto = np.cumsum(count)
         total = int(upto[-1]) if len(upto) else 0
         first = self.first[dims, levels]
-        segments = list(zip(dims.tolist(), first.tolist(), (first + count).tolist(), gain[dims, levels].tolist(), strict=True))
-        slack = np.where(seen, impact - gain, 0).max(axis=1)
         score, places, start = np.zeros(len(self.ids)), np.flatnonzero(other), 0
+        some = places[:: max(1, len(places) // SEEDS)]
+        if len(some) >= k:  # exact scores of a few candidates: k of them reach the k-th best
+            known = max(known, float(np.partition(self.matrix_float[some] @ q.astype(np.float64), len(some) - k)[len(some) - k]))
         for step in STEPS:
             end = len(dims) if step == 1 else int(np.searchsorted(upto, total * step))
-            for d, lo, hi, g in segments[start:end]:
-                if g:
-                    score[self.postings[d][lo:hi]] += g
+            # what a step reads of a list is one run of segments
+            lo, hi = np.full(len(q), len(self.ids)), np.zeros(len(q), np.int64)
+            np.minimum.at(lo, dims[start:end], first[start:end])
+            np.maximum.at(hi, dims[start:end], (first + count)[start:end])
+            for d, a, z, weight, least in zip(range(len(q)), lo.tolist(), hi.tolist(), q.tolist(), floor.tolist(), strict=True):
+                if a < z:
+                    score[self.postings[d][a:z]] += weight * self.values[d][a:z] - least
             self.read += int(count[start:end].sum())
             start = end
-            reach = score[places] + slack.sum()
+            reach = score[places]
             if end < len(dims):
                 # what the next segment of each dimension can still give to vectors that weren't in the segments read
                 rest = np.zeros(len(q))
@@ -132,8 +141,8 @@ class ImpactBlock:
                 np.minimum.at(bottom, dims[end:], levels[end:])
                 own_level = self.level if len(places) == len(self.ids) else self.level[places]
                 open_ = np.where(q >= 0, own_level <= top, own_level >= bottom)
-                part = open_.astype(np.float32) @ (rest - slack).astype(np.float32)
-                part = part + np.abs(rest - slack).sum() * len(q) * 2.0**-22  # 32-bit sums, rounded up
+                part = open_.astype(np.float32) @ rest.astype(np.float32)
+                part = part + rest.sum() * len(q) * 2.0**-22  # 32-bit sums, rounded up
                 reach = reach + (part if len(part) == len(places) else part[places])
             bound = known - base
             if len(places) >= k:
