@@ -449,3 +449,13 @@ def accepts(toks) -> bool:
         if stack is None:
             return False
     return stack == ()
+
+
+def chooses_rule(taken: set[int]) -> bool:
+    """Whether the mask is that of the place where a rule's name stands."""
+    return taken == set(RULE_OF)
+
+
+def chooses_witness(taken: set[int]) -> bool:
+    """Whether the mask is that of the place where a witness's kind stands."""
+    return len(taken) > 1 and taken <= {K[w] for w in ("term", "type", "var", "axiom", "inst", "insttype", "bound_and_witness")}

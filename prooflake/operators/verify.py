@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel, proofs, tokens, vocab
-from ..functions.terms import LogicError, Theory, alpha_key, show
-from ..schemas import HEADER
+from ..functions.terms import LogicError, Theory, alpha_key, same, show
+from ..schemas import HEADER, PROBE
 
 TheoryMaker = Callable[[], Theory]
 
@@ -142,18 +142,66 @@ def _frame(rows: list[tuple | None]) -> pd.DataFrame:
     return pd.DataFrame([r for r in rows if r], columns=["cert_id", "goal_toks", "cert_toks", "header", "shape", "depth"])
 
 
-def generate(spark, n: int, depth: int, seed: int = 0, weight: dict[tuple[int, str], float] | None = None) -> DataFrame:
+def generate(spark, n: int, depth: int, seed: int = 0, weight: dict[tuple[int, str], float] | None = None, kit: float = 0.0) -> DataFrame:
     """Random walks 0..n-1, each from its own draws; ``weight`` is one snapshot for the whole batch (bounded: positions
-    times rules), so results don't depend on how walks are spread."""
+    times rules), so results don't depend on how walks are spread.  ``kit``: the share that opens with a kit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            walks = [(i, proofs.walk(seed, int(i), depth, weight)) for i in b["id"]]
+            walks = [(i, proofs.walk(seed, int(i), depth, weight, kit=kit)) for i in b["id"]]
             yield _frame([_row(f"walk{i}", c) for i, c in walks if c is not None])
 
     return spark.range(n).mapInPandas(run, _GENERATED)
 
 
+def probes(spark, n: int, depth: int, seed: int = 0, weight: dict[tuple[int, str], float] | None = None, kit: float = 0.0) -> DataFrame:
+    """What the same walks could choose and chose, one PROBE record each; the shape is empty where a walk failed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = ["pos", "applicable", "precond", "sampled", "apply_ok", "failures", "kit"]
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                proofs.walk(seed, int(i), depth, weight, kit=kit, probe=(x := {}))
+                out.append((i, depth, x["completed_shape"], [dict(zip(keys, s, strict=True)) for s in x["steps"]]))
+            yield pd.DataFrame(out, columns=["walk_id", "target_depth", "completed_shape", "steps"])
+
+    return spark.range(n).mapInPandas(run, PROBE)
+
+
+def counts(certs: DataFrame) -> dict[tuple[int, str], float]:
+    """Steps by (position, rule), counted by Spark; what comes to the driver is bounded by 32 positions times the rules."""
+    steps = certs.select(F.posexplode(F.split("shape", "-")).alias("pos", "rule"))
+    return {(r.pos, r.rule): float(r.n) for r in steps.groupBy("pos", "rule").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def feedback(walks: DataFrame) -> dict[tuple[int, str], float]:
+    """Weights for the next batch of walks from the counts of this one: 1 / (1 + count) by position and rule."""
+    return {k: 1.0 / (1 + n) for k, n in counts(walks).items()}
+
+
+def syntactic(df: DataFrame, theory: TheoryMaker = proofs.number_theory, wrong: float = 0.0, bonus: float = 0.0) -> DataFrame:
+    """(cert_id, reward) without replaying: -1 off the grammar, 100 for the goal as conclusion, else ``wrong``; the last
+    two plus ``bonus`` if there is a step.  A certificate without steps that states the goal passes here."""
+
+    def scored(goal, cert, header, th: Theory) -> float:
+        toks = [int(t) for t in cert] if cert is not None else []
+        if not tokens.accepts(toks):
+            return -1.0
+        extra = bonus if vocab.KEYWORDS["step"] in toks else 0.0
+        try:
+            return extra + (100.0 if same(tokens.decode_cert(toks, header, th).concl, tokens.decode_term(goal, header, th)) else wrong)
+        except (LogicError, RecursionError, TypeError):
+            return extra + wrong
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        th = theory()
+        for b in batches:
+            yield pd.DataFrame({"cert_id": b["cert_id"], "reward": [scored(g, c, _header(h), th) for g, c, h in zip(b["goal_toks"], b["cert_toks"], b["header"], strict=True)]})
+
+    return df.select("cert_id", "goal_toks", "cert_toks", "header").mapInPandas(run, "cert_id string, reward double")
+
+
 def curated(spark, each: int) -> DataFrame:
     """``each`` instances of every curated pattern."""
 

@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import proofs, vocab
+from ..functions import proofs, provers, vocab
+from ..functions.terms import show
 from ..operators import certs as R
+from ..operators import search as P
 from ..operators import verify as V
 from ..operators.latex import proof_documents
-from ..sources.files import read_buffer, write_records
+from ..sources.files import cert_text, read_buffer, write_records
 from .tables import STEPS, TRACES, steps, traces
 
 QUERIES, ORACLE = {}, {}
@@ -79,6 +81,70 @@ def gen_walks(spark, sf):
     return walks.join(V.verify_tokens(walks, strict=True), "cert_id").select("cert_id", "shape", "depth", "verdict")
 
 
+def _goals(spark):
+    """Goals of the seeds and the statement on primes, as text."""
+    goals = [(label, show(make().cert().concl)) for label, make in proofs.SEEDS.items()]
+    return spark.createDataFrame([*goals, ("euclid", show(provers.EUCLID))], "goal_id string, goal string")
+
+
+@query()
+def goal_search(spark, sf):
+    """Best-first search for every seed, guided by the curated corpus' counts; what is found is replayed."""
+    seeds = _goals(spark).where("goal_id <> 'euclid'")
+    return P.search(seeds, V.counts(V.curated(spark, 20))).select("goal_id", "solved", "shape", "calls", "depth")
+
+
+@query()
+def goal_sample(spark, sf):
+    """Flat sampling for every seed."""
+    seeds = _goals(spark).where("goal_id <> 'euclid'")
+    return P.search(seeds, V.counts(V.curated(spark, 20)), method="sample", seed=1).select("goal_id", "solved", "shape", "calls", "depth")
+
+
+@query()
+def prove_goals(spark, sf):
+    """The first prover, in order, that proves each goal, with a store that holds two of the proofs."""
+    kept = ["conj_assoc", "comp_imp"]
+    seeds = [(label, cert_text(proofs.SEEDS[label]().cert())) for label in kept]
+    keys = P.keyed(_goals(spark), provers.euclid_theory).where(F.col("goal_id").isin(kept))
+    cache = keys.join(F.broadcast(spark.createDataFrame(seeds, "goal_id string, cert string")), "goal_id").select("key", "cert")  # two rows
+    out = P.prove(_goals(spark), ["lookup", "scripted", "enumerator", "search"], cache, theory=provers.euclid_theory)
+    return out.select("goal_id", "prover")
+
+
+@query()
+def goal_subterms(spark, sf):
+    """Token subterms of every seed's goal."""
+    return P.subterms(V.seed_certs(spark)).select("cert_id", "place", F.array_join("toks", " ").alias("toks"))
+
+
+@query()
+def walk_probes(spark, sf):
+    """Reach of each rule in walks of which half open with a kit: steps that made it possible, took it and kept it."""
+    steps = V.probes(spark, 400, 6, kit=0.5).select(F.explode("steps").alias("s")).where("NOT s.kit")
+    seen = steps.select(F.explode("s.applicable").alias("rule"), "s.sampled", "s.apply_ok")
+    taken = F.col("sampled") == F.col("rule")
+    return seen.groupBy("rule").agg(F.count(F.lit(1)).alias("applicable"), F.count_if(taken).alias("sampled"), F.count_if(taken & F.col("apply_ok")).alias("applied"))
+
+
+@query()
+def fed_back_walks(spark, sf):
+    """A second batch of walks, weighed by the counts of the first; by rule, its steps in both."""
+    first = V.generate(spark, 200, 6)
+    second = V.generate(spark, 200, 6, seed=1, weight=V.feedback(first))
+    both = first.withColumn("batch", F.lit(0)).unionByName(second.withColumn("batch", F.lit(1)))
+    rules = both.select("batch", F.explode(F.split("shape", "-")).alias("rule"))
+    return rules.groupBy("rule").agg(F.count_if(F.col("batch") == 0).alias("first"), F.count_if(F.col("batch") == 1).alias("second"))
+
+
+@query()
+def syntactic_rewards(spark, sf):
+    """Rewards by form alone: the seeds' proofs and the same cut in half."""
+    full = V.seed_certs(spark)
+    half = full.withColumn("cert_id", F.concat("cert_id", F.lit("/half"))).withColumn("cert_toks", F.slice("cert_toks", F.lit(1), (F.size("cert_toks") / 2).cast("int")))
+    return V.syntactic(full.unionByName(half), bonus=1.0)
+
+
 @query()
 def gen_variants(spark, sf):
     """Three renamed variants of each seed, and their verdicts."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from ..operators import sampling as S
 from ..operators.analytics import rule_counts, six
-from .tables import CAP, EARLY, JUDGED, MAX_CHARS, SAMPLE, SEEDS, STEPS, TEMPERATURE, TRACES, judged, r6, steps, table, traces
+from .tables import CAP, DRAWS, EARLY, JUDGED, MAX_CHARS, SAMPLE, SEEDS, STEPS, TEMPERATURE, TRACES, judged, r6, steps, table, traces
 
 QUERIES, ORACLE = {}, {}
 
@@ -202,3 +202,26 @@ def cache_lookup(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"))
     cache = d.where("doc_id < 200").groupBy("key").agg(F.min("doc_id").alias("cached"))
     return d.join(cache, "key", "left").select("doc_id", "cached")
+
+
+_U = "CAST('0x' || substr(md5(concat_ws('/', {})), 1, 8) AS BIGINT)"
+
+
+@query(
+    f"""WITH {JUDGED}, r AS (SELECT doc_id AS id, CASE WHEN quality = 1 AND toxic = 0 THEN 4 ELSE 1 END AS w FROM judged),
+n AS (SELECT id, w, CAST(ceil(w * 256 / CAST((SELECT sum(w) FROM r) AS DOUBLE)) AS BIGINT) AS n FROM r), x AS (SELECT id, w, n, unnest(range(n)) AS piece FROM n),
+c AS (SELECT id, piece, w * (piece + 1) // n - w * piece // n AS w, {_U.format("'7', id, piece")} % 256 AS bucket FROM x),
+p AS (SELECT id, CAST(sum(w) OVER (ORDER BY bucket, id, piece) AS BIGINT) AS hi, w FROM c WHERE w > 0), t AS (SELECT max(hi) AS total FROM p),
+d AS (SELECT i AS draw, CAST((CAST({_U.format("'7', i, 'a'")} AS HUGEINT) * 2147483648 + {_U.format("'7', i, 'b'")} // 2) % total AS BIGINT) AS point FROM range({DRAWS}) g(i), t)
+SELECT draw, id AS doc_id FROM d JOIN p ON point >= hi - w AND point < hi"""
+)
+def resample(spark, sf):
+    """Draws with replacement by weight: good documents four times as often."""
+    weighed = judged(spark, sf).select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 4).otherwise(1).alias("w"))
+    return S.resampled(weighed, "doc_id", "w", DRAWS, 7)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('/', '42', doc_id)), doc_id) AS place FROM documents WHERE lang = 'en'")
+def shuffle(spark, sf):
+    """English documents in a seeded order, with their places."""
+    return S.shuffled(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", 42)

@@ -10,6 +10,7 @@ from ..operators.trace import TraceSpec, positions, shapes
 #: Constants that the Spark plans and their SQL share.
 RULES = ["click", "error", "purchase", "signup", "view"]
 START, END, CONTAINS = "view", "purchase", ["click", "error", "signup"]
+DRAWS = 5000
 BASELINE, PHASE = "2024-01-05", "2024-01-15"
 SEEDS, CAP, MAX_CHARS, SAMPLE, TEMPERATURE, EARLY = 23, 3, 320, 5, 2.0, 6
 SPEC = TraceSpec(("user_id", "d"), ("ts", "event_id"), "event_type")

@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.kernel import Cert, Step
 from ..functions.terms import LogicError, Theory, parse_term, parse_type, show, show_type
-from ..schemas import BUFFER, DECLS
+from ..schemas import BUFFER, DECLS, NOVEL, PROBE
 
 POLICIES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
@@ -55,6 +55,30 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     write_records(fresh.select(*df.columns), path)
 
 
+def read_probes(spark: SparkSession, path: str, malformed: str = "DROPMALFORMED") -> DataFrame:
+    return read_records(spark, path, PROBE, malformed)
+
+
+def read_novel(spark: SparkSession, path: str, malformed: str = "DROPMALFORMED") -> DataFrame:
+    return read_records(spark, path, NOVEL, malformed)
+
+
+def append_novel(df: DataFrame, path: str) -> bool:
+    """Append novel certificates; writes nothing, not even a folder, if there are none.  Whether it wrote."""
+    if df.isEmpty():
+        return False
+    write_records(df.select(*(f.split()[0] for f in NOVEL.split(", "))), path)
+    return True
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """Rows (name, value) as a file each, in a folder name=..., which the readers of whole files here take as it is.
+
+    For exports: a file a row is dear beyond some millions of rows, where the token columns should be kept instead.
+    """
+    df.select("name", "value").repartition("name").write.mode("append").partitionBy("name").option("lineSep", "\n").text(path)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -65,6 +89,8 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".bak"))
     fs = p.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(p):  # stopped between the two renames: the old folder is the last whole one
+        fs.rename(old, p)
     if fs.exists(old):
         raise FileExistsError(f"{path}.bak")
     df.write.mode("overwrite").json(path + ".new")

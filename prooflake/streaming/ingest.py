@@ -6,8 +6,10 @@ The file source and a checkpoint give each file to exactly one batch.  A replaye
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +36,32 @@ def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, accept:
     return stream_buffer(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def waits(first: float = 1.0, ceiling: float = 60.0) -> Iterator[float]:
+    """Seconds between restarts: doubled while they are below the ceiling."""
+    wait = first
+    while True:
+        yield wait
+        if wait < ceiling:
+            wait *= 2
+
+
+def restarting(start: Callable[[], StreamingQuery], limit: int | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run a query to its end, started again after each failure (``limit``: at most so often); how often it failed.
+
+    The checkpoint makes a restart go on where the last whole batch ended.
+    """
+    for failed, wait in enumerate(waits()):
+        try:
+            start().awaitTermination()
+        except StreamingQueryException:
+            if limit is not None and failed >= limit:
+                raise
+            sleep(wait)
+        else:
+            return failed
+    raise AssertionError("unreachable")
+
+
 def running_counts(steps: DataFrame) -> DataFrame:
     """Streaming counts by position and rule: a round updates them instead of scanning the buffer again."""
     return steps.groupBy("pos", "rule").agg(F.count(F.lit(1)).alias("n"))

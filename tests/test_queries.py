@@ -33,7 +33,7 @@ def test_grammar(spark, sf):
 
 def test_generated(spark, sf):
     corpus = rows(spark, sf, "curated_corpus")
-    assert len(corpus) == 4000 and len({r.shape for r in corpus}) == 20 and all(r.shape_from_tokens and r.length <= 320 for r in corpus)
+    assert len(corpus) == 7800 and len({r.shape for r in corpus}) == 20 and all(r.shape_from_tokens and r.length <= 320 for r in corpus)
     walks = rows(spark, sf, "gen_walks")
     assert len(walks) >= 380 and all(r.verdict == 100 for r in walks) and len({r.shape for r in walks}) >= 50
     variants = rows(spark, sf, "gen_variants")
