@@ -236,8 +236,21 @@ def advantage(spark, sf):
 @query(f"SELECT s.id AS seed, m.method, s.id IN (13, 14, 15, 16, 17, 18, 19, 20, 21, 22) AS ood FROM range({SEEDS}) s(id), (VALUES ('greedy'), ('sample'), ('tree')) m(method)")
 def eval_grid(spark, sf):
     """Every method on every seed."""
-    methods = F.explode(F.array(*map(F.lit, ("greedy", "sample", "tree"))))
-    return spark.range(SEEDS).select(F.col("id").alias("seed"), methods.alias("method"), (F.col("id") >= 13).alias("ood"))
+    return _grid(spark)
+
+
+def _grid(spark, seeds: list[int] | None = None, methods: list[str] | None = None):
+    """Methods on seeds, or the named ones of both."""
+    every = F.explode(F.array(*map(F.lit, ("greedy", "sample", "tree"))))
+    grid = spark.range(SEEDS).select(F.col("id").alias("seed"), every.alias("method"), (F.col("id") >= 13).alias("ood"))
+    grid = grid if seeds is None else grid.where(F.col("seed").isin(seeds))
+    return grid if methods is None else grid.where(F.col("method").isin(methods))
+
+
+@query("SELECT s.id AS seed, m.method, s.id >= 13 AS ood FROM (VALUES (CAST(1 AS BIGINT)), (13), (20)) s(id), (VALUES ('sample'), ('tree')) m(method)")
+def eval_subset(spark, sf):
+    """Two methods on three seeds."""
+    return _grid(spark, [1, 13, 20], ["sample", "tree"])
 
 
 @query(

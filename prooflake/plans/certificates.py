@@ -250,6 +250,13 @@ def mp_match(spark, sf):
     return R.equal_pairs(_sides(spark, sf), "rule", "nxt", ["user_id", "d"])
 
 
+@query(f"WITH {_SIDES} SELECT a.user_id, a.d, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.d = b.d AND a.nxt = b.rule AND a.pos <> b.pos WHERE a.rule = 'view' AND b.rule <> 'view'")
+def eqmp_match(spark, sf):
+    """Equations (views) with the steps, not equations themselves, that conclude their side."""
+    s = _sides(spark, sf).withColumn("nxt", F.when(F.col("rule") == "view", F.col("nxt"))).withColumn("rule", F.when(F.col("rule") != "view", F.col("rule")))
+    return R.equal_pairs(s, "nxt", "rule", ["user_id", "d"])
+
+
 @query(f"WITH {_SIDES} SELECT a.user_id, a.d, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.d = b.d AND a.ty = b.ty AND a.pos <> b.pos")
 def mkcomb_pairs(spark, sf):
     """Pairs of different steps whose types fit."""

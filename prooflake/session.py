@@ -27,6 +27,7 @@ def local_session(cores: int | str = 8, name: str = "prooflake", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,7 +1,8 @@
 """Continuous ingestion of buffer files with Structured Streaming.
 
 The file source and a checkpoint give each file to exactly one batch.  A replayed batch writes the same folder again
-(one per batch), so the sink is idempotent; keys are deduplicated within the batch and against the batches before it.
+(one per batch), so the sink is idempotent; keys are deduplicated within the batch and against the batches before it by
+keyed state.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import BUFFER
-from ..sources.files import read_records
 
 KEY = ["goal_toks", "cert_toks"]
 
@@ -25,15 +25,19 @@ def stream_buffer(spark: SparkSession, path: str, files: int = 1000) -> DataFram
 
 
 def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, accept: Callable[[DataFrame], DataFrame] | None = None, cap: int = 320) -> StreamingQuery:
-    """Append new, short enough and accepted entries to ``sink``/batch=N; runs until the input is used up."""
+    """Append new, short enough and accepted entries to ``sink``/batch=N; runs until the input is used up.
+
+    Of entries with equal tokens one is taken, the first that a batch brings.  What was seen is keyed state, a digest an
+    entry, in the checkpoint; sink and checkpoint belong together.  An entry that ``accept`` refuses is not asked again.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        short = df.where(F.size("goal_toks") + F.size("cert_toks") + 3 <= cap).dropDuplicates(KEY)
-        known = read_records(spark, sink, BUFFER + ", batch bigint")
-        fresh = short.join(known.where(F.col("batch") < number).select(*KEY), KEY, "left_anti").select(*df.columns)
-        (accept(fresh) if accept else fresh).write.mode("overwrite").json(f"{sink}/batch={number}")
+        (accept(df) if accept else df).write.mode("overwrite").json(f"{sink}/batch={number}")
 
-    return stream_buffer(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = stream_buffer(spark, source)
+    short = stream.where(F.size("goal_toks") + F.size("cert_toks") + 3 <= cap)
+    fresh = short.withColumn("__key", F.sha2(F.to_json(F.struct(*KEY)), 256)).dropDuplicates(["__key"]).drop("__key")
+    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def waits(first: float = 1.0, ceiling: float = 60.0) -> Iterator[float]:

@@ -184,3 +184,14 @@ def test_streaming_counts(spark, sf, tmp_path):
     out = ingest.windowed_counts(events, "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_refused_and_long_entries_stay_out(spark, tmp_path):
+    source, sink, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    rows = [([1], [2], "a", 0), ([1], [2], "b", 1), ([3], [4], "refused", 0), ([5], [6] * 400, "long", 0), ([7], [8], "a", 0)]
+    spark.createDataFrame(rows, "goal_toks array<smallint>, cert_toks array<smallint>, source string, discovered_round int").write.json(source)
+    ingest.ingest(spark, source, sink, check, lambda df: df.where("source <> 'refused'")).awaitTermination()
+    got = spark.read.json(sink)
+    assert sorted((r.goal_toks, r.cert_toks) for r in got.collect()) == [([1], [2]), ([7], [8])]
+    ingest.ingest(spark, source, sink, check).awaitTermination()
+    assert spark.read.json(sink).count() == 2
