@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, certificates, corpora, sequences
+from . import audits, certificates, corpora, sequences, verdicts
 
 QUERIES, ORACLE = {}, {}
-for _m in (sequences, corpora, audits, certificates):
+for _m in (sequences, corpora, audits, certificates, verdicts):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

@@ -235,3 +235,11 @@ def test_swap_recovers(spark, tmp_path):
     path.rename(tmp_path / "t.bak")  # stopped between the renames
     files.replace_atomically(spark.range(5).toDF("x"), str(path))
     assert spark.read.json(str(path)).count() == 5 and spark.read.json(str(path) + ".bak").count() == 3
+
+
+def test_every_rule_has_right_and_wrong_certificates(spark, sf):
+    from prooflake.plans import verdicts
+    from prooflake.functions.vocab import RULES
+
+    assert set(verdicts.FAMILIES) >= set(RULES) - {"ETA_AX", "SELECT_AX", "EM_AX"}
+    assert {r.verdict for r in QUERIES["rule_verdicts"](spark, sf).select("verdict").distinct().collect()} == {100, 0, -1}
