@@ -34,9 +34,9 @@ def ranked(counts: DataFrame, k: int, by: str = "pos") -> DataFrame:
 
 def modal(counts: DataFrame) -> DataFrame:
     """(pos, rule, mass): the most frequent rule of each position and its share."""
-    best = F.max(F.struct(F.col("n"), F.lit(0)))  # the count alone: the name is chosen among its equals
-    top = counts.groupBy("pos").agg(F.sum("n").alias("all"), best["n"].alias("most"))
-    return counts.join(top, "pos").where("n = most").groupBy("pos").agg(F.min("rule").alias("rule"), six(F.max(F.col("most") / F.col("all"))).alias("mass"))
+    best = F.min(F.struct((-F.col("n")).alias("less"), "rule"))  # of equals the first by name
+    top = counts.groupBy("pos").agg(best.alias("best"), F.sum("n").alias("all"))
+    return top.select("pos", F.col("best.rule").alias("rule"), six(-F.col("best.less") / F.col("all")).alias("mass"))
 
 
 def pivot(steps: DataFrame, rules: list[str]) -> DataFrame:

@@ -202,6 +202,16 @@ def syntactic(df: DataFrame, theory: TheoryMaker = proofs.number_theory, wrong:
     return df.select("cert_id", "goal_toks", "cert_toks", "header").mapInPandas(run, "cert_id string, reward double")
 
 
+def templates(spark, n: int, seed: int = 0) -> DataFrame:
+    """n certificates from templates, right in form; some don't replay."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _frame([_row(f"template{i}", proofs.template(seed, int(i))) for i in b["id"]])
+
+    return spark.range(n).mapInPandas(run, _GENERATED)
+
+
 def curated(spark, each: int) -> DataFrame:
     """``each`` instances of every curated pattern."""
 

@@ -145,6 +145,14 @@ def syntactic_rewards(spark, sf):
     return V.syntactic(full.unionByName(half), bonus=1.0)
 
 
+@query()
+def template_verdicts(spark, sf):
+    """Certificates from templates by shape: how many there are, replay, and are right in form."""
+    made = V.templates(spark, 2000)
+    judged = made.join(V.verify_tokens(made), "cert_id").join(V.grammar(made).select("cert_id", "accepted"), "cert_id")
+    return judged.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == 100).alias("replayed"), F.count_if("accepted").alias("well_formed"))
+
+
 @query()
 def gen_variants(spark, sf):
     """Three renamed variants of each seed, and their verdicts."""

@@ -243,3 +243,11 @@ def test_every_rule_has_right_and_wrong_certificates(spark, sf):
 
     assert set(verdicts.FAMILIES) >= set(RULES) - {"ETA_AX", "SELECT_AX", "EM_AX"}
     assert {r.verdict for r in QUERIES["rule_verdicts"](spark, sf).select("verdict").distinct().collect()} == {100, 0, -1}
+
+
+def test_templates(spark, sf):
+    got = {r.shape: r for r in QUERIES["template_verdicts"](spark, sf).collect()}
+    assert len(got) == 9 and sum(r.n for r in got.values()) == 2000 and all(r.well_formed == r.n for r in got.values())
+    bad = {k for k, r in got.items() if r.replayed < r.n}
+    assert bad <= {"BETA", "REFL-EXISTS"} and got["ASSUME-DISCH-GEN"].replayed == got["ASSUME-DISCH-GEN"].n
+    assert P.template(1, 5) == P.template(1, 5)
