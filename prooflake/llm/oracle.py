@@ -76,3 +76,44 @@ SELECT b.doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(p
   CASE WHEN len(bl) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(c, CAST(0 AS DOUBLE)) END AS score
 FROM b LEFT JOIN h ON b.doc_id = h.doc_id
 """
+
+LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d
+), k AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM l
+), g AS (
+  SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), r AS (SELECT k.*, holder IS NULL OR doc_id = holder AS stays FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256 FROM r GROUP BY doc_id
+"""
+
+RESAMPLE = rf"""
+WITH tab AS (SELECT [list_reduce(list_concat([CAST(i AS BIGINT)], [CAST(k AS BIGINT) FOR k IN range(8)]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t
+), dw AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_W}')) AS w FROM documents
+), bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_W}')) AS w FROM benchmark
+), dc AS (SELECT doc_id, w, count(*) AS n FROM dw GROUP BY ALL
+), v AS (SELECT DISTINCT w FROM (SELECT w FROM dc UNION ALL SELECT w FROM bw)
+), h AS (SELECT w, hex(encode(w)) AS x FROM v
+), b AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], [CAST(('0x' || substr(x, 2 * i - 1, 2)) AS BIGINT) FOR i IN range(1, len(x) // 2 + 1)]),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab
+), s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM dc JOIN b USING (w) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (w) GROUP BY bucket
+), a AS (SELECT (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) FROM s) AS ss, (SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) AS tt
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * (ss + 10000) / ((coalesce(s, 0) + CAST(1 AS DOUBLE)) * (tt + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket), a
+), w AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM dc JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id
+), z AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST(('0x' || substr(sha256('2024:' || doc_id), 1, 8)) AS BIGINT) AS h FROM documents LEFT JOIN w USING (doc_id)
+), x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM z
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM x WHERE n_features >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN k <= 10 * (SELECT count(*) FROM r) // 100 THEN k END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
