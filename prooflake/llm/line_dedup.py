@@ -131,8 +131,9 @@ def _batch_of(docs: DataFrame, batches: int) -> Column:
 def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_CHARS, at_least: int = AT_LEAST, batches: int = BATCHES) -> DataFrame:
     """(doc_id, row, n_lines, n_dropped, kept): one row per document; ``row`` is the caller's, ``kept`` the text that stays."""
     keep = Scratch(spark, "line-dedup")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(F.col("text")).alias("x"), _batch_of(docs, batches).alias("batch"), F.explode(keys(F.col("text"), least)).alias("k"))
-    known.select("doc_id", "x", "batch", "k.*").write.partitionBy("batch").parquet(keep.path("lines"))
+    # two steps: beside explode, the text's hash would be taken again for each line
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(F.col("text")).alias("x"), _batch_of(docs, batches).alias("batch"), keys(F.col("text"), least).alias("ks"))
+    known.select("doc_id", "x", "batch", F.explode("ks").alias("k")).select("doc_id", "x", "batch", "k.*").write.partitionBy("batch").parquet(keep.path("lines"))
     lines = spark.read.schema("doc_id long, x long, pos int, h long, g long, batch int").parquet(keep.path("lines"))
     index = LineRuns(spark, keep.path("runs"))
     for k in range(batches):

@@ -45,22 +45,19 @@ class Moments:
     def of(values: np.ndarray) -> Moments:
         """Of the rows of a matrix."""
         n, dims = values.shape
-        if values.dtype == np.int64:
-            exact = n * int(np.abs(values).max(initial=0)) < LONG // 2
-            sums = (values if exact else values.astype(object)).sum(axis=0).astype(object)
-        else:
-            sums = values.sum(axis=0).astype(object)
-        centred = values - np.array([s / n for s in sums], np.float64) if n else np.zeros((0, dims))
-        return Moments(n, sums, centred.T @ centred)
-
-    def mean(self) -> np.ndarray:
-        return np.array([s / self.n for s in self.sums], np.float64)
+        if not n:
+            return Moments(0, np.zeros(dims, object), np.zeros((dims, dims)))
+        if values.dtype == np.int64 and n * int(np.abs(values).max(initial=0)) >= LONG // 2:
+            values = values.astype(object)
+        sums = values.sum(axis=0)
+        centred = ((n * values - sums) / n).astype(np.float64)  # of integers, exact but for one division
+        return Moments(n, sums.astype(object), centred.T @ centred)
 
     def merged(self, other: Moments) -> Moments:
         """Chan's formula: the scatters and that of the two means."""
         if not self.n or not other.n:
             return self if self.n else other
-        apart = other.mean() - self.mean()
+        apart = np.array([(b * self.n - a * other.n) / (self.n * other.n) for a, b in zip(self.sums, other.sums, strict=True)], np.float64)
         between = np.outer(apart, apart) * (self.n / (self.n + other.n) * other.n)
         return Moments(self.n + other.n, self.sums + other.sums, self.scatter + other.scatter + between)
 
