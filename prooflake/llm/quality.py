@@ -318,16 +318,19 @@ class Quality:
         """The documents that are kept, with all their columns; texts aren't shuffled."""
         band = {r.lang: (r.lo, r.hi) for r in self.bands.collect()}  # one row a language with BAND_MIN documents
         model, small = self.model, band.get(None, (-np.inf, np.inf))
+        numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # whatever the caller's names are
+        of = [docs.columns.index(c) for c in ("lang", "text")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = _measure(b, model.value)
-                lim = [band.get(x, small) for x in b.column("lang").fill_null(NO_LANG).to_pylist()]
+                own = pa.RecordBatch.from_arrays([b.column(k) for k in of], names=["lang", "text"])
+                m = _measure(own, model.value)
+                lim = [band.get(x, small) for x in own.column("lang").fill_null(NO_LANG).to_pylist()]
                 lim = np.array(lim, float).reshape(-1, 2)
                 ok = ~base_failed(m) & (m["log_ppl"] >= lim[:, 0]) & (m["log_ppl"] <= lim[:, 1])
                 yield b.filter(pa.array(ok))
 
-        return docs.mapInArrow(run, docs.schema)
+        return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,20 +303,25 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = MARK) -> DataFrame:
     Only documents with candidate tokens are set aside for the corpus-wide tests; the others are redacted in one pass.
     """
     keep = Scratch(spark, "redact")
+    # the caller's columns travel in one struct, so none of their names can meet one of those below
+    rest = [c for c in docs.columns if c != "text"]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in rest}
+    own = F.struct(*(quoted[c] for c in rest)) if rest else F.lit(None).cast("string")
     text = F.col("text")
-    rows = _marked(docs)
+    rows = _marked(docs.select(own.alias("__own"), "text"))
     some = keep.keep(rows.where(F.size("__tokens") > 0).withColumn("__row", F.monotonically_increasing_id()), "some")
     plain = rows.where(F.size("__tokens") <= 0).withColumn("spans", _in_order(F.col("__base")))
-    found = plain.select(*docs.columns, "spans").unionByName(_decided(keep, some).select(*docs.columns, "spans"))
+    found = plain.select("__own", "text", "spans").unionByName(_decided(keep, some).select("__own", "text", "spans"))
     clean = _replaced(text, F.col("spans"), mark)
-    out = found.withColumn("__clean", F.when(F.size("spans") > 0, clean).otherwise(text))
+    out = found.select("__own", "spans", F.when(F.size("spans") > 0, clean).otherwise(text).alias("text"))
 
     def column(name: str, kind: str) -> Column:
         if name == "text":
-            return F.col("__clean").alias("text")
+            return text
+        value = F.col("__own").getField(name)
         if name == "n_chars":  # follows the text
-            return F.when(F.size("spans") > 0, F.length("__clean")).otherwise(F.col(name)).cast(kind).alias(name)
-        return F.col(name)
+            value = F.when(F.size("spans") > 0, F.length("text")).otherwise(value).cast(kind)
+        return value.alias(name)
 
     return out.select(*(column(c, t) for c, t in docs.dtypes))
 

@@ -5,6 +5,7 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prooflake.llm import html_render, oracle, topk
@@ -290,6 +291,29 @@ def test_near_duplicates_of_repeated_ids(spark):
             assert sorted(got) == sorted(want)
 
 
+NAMES = """spans base_spans __own __row __base __tokens __more __clean row s e k token family level least random p_text
+    id own several gone n set_id first __id __n sig doc_a component_id group_id start after base_failed kept log_ppl lo hi small_lo
+    key c ctx p q gamma part length rank sequence_id offset a.b c`d""".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    own = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    docs = own.withColumns({f"z{k}": F.concat(F.lit(f"{k}/"), F.col("doc_id")) for k in range(len(NAMES))}).toDF(*own.columns, *NAMES)
+    doc, (_, text) = docs.first(), max(((len(r.text or ""), r.text) for r in own.collect()))
+    more = [(1000, f"{text} token = abcdefghijkl end", "en", "s", 9), (1001, text, "en", "s", 9), (1001, "another one", "en", "s", 9), (1002, text, "en", "s", 9), (1002, "", "en", "s", 9)]
+    docs = docs.unionByName(spark.createDataFrame([(*r, *(f"{k}/{r[0]}" for k in range(len(NAMES)))) for r in more], docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == f"{k}/{r.doc_id}" for r in rows for k, c in enumerate(NAMES)), name
+        if name == "ngram_jaccard_join":  # the copies go, what else has their ids stays
+            assert sorted((r.doc_id, r.text) for r in rows if r.doc_id > 999) == [(1001, "another one"), (1002, "")]
+        if name == "secret_scan":
+            assert {r.doc_id: r.text for r in rows}[1000].endswith("[SECRET] end") and len(rows) == docs.count()
+    assert doc is not None and corpus_pipeline.packed(spark, docs, sf).count() >= docs.count()
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert got and {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(got[0].asDict())
