@@ -34,17 +34,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keep = Scratch(spark, "one-of-each")
     found = keep.keep(ngram_join.ngram_join(spark, docs).documents.where("doc_id IS NOT NULL").select("doc_id", "set_id", "first"), "found")
-    gone = found.where("NOT first").select("doc_id", "set_id").distinct()
-    several = keep.keep(found.where("set_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "several")
-    key = docs["doc_id"].cast("long")
-    once = docs.join(several, key == F.col("__id"), "left_anti")
-    left = once.join(gone.select(F.col("doc_id").alias("__id")).distinct(), once["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    flags = found.groupBy(F.col("doc_id").alias("id")).agg((F.count(F.lit(1)) > 1).alias("several"), F.bool_or(~F.col("first")).alias("gone"))
+    flags = keep.keep(flags.where("several OR gone"), "flags")
+    # the caller's row in one struct: its names can't meet those used here
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("own")).join(flags, "id", "left")
+    left = rows.where("several IS NULL")  # ids of one row, which stays
     # ids of several rows: by id and text
-    again = ngram_join.set_ids(docs.join(several, key == F.col("__id"), "left_semi").select(F.col("doc_id").cast("long").alias("__id"), "text", F.struct(*docs.columns).alias("__row")))
-    gone = gone.select(F.col("doc_id").alias("__id"), "set_id")
-    same = Window.partitionBy("__id", "set_id").orderBy("__row")
-    again = again.join(gone, ["__id", "set_id"], "left_anti").withColumn("__n", F.when(F.col("set_id").isNull(), 1).otherwise(F.row_number().over(same))).where("__n = 1")
-    return left.select(*docs.columns).unionByName(again.select("__row.*"))
+    again = ngram_join.set_ids(rows.where("several").select("id", F.col("own.text").alias("text"), "own"))
+    gone = found.where("NOT first").select(F.col("doc_id").alias("id"), "set_id").distinct()
+    same = Window.partitionBy("id", "set_id").orderBy("own")
+    again = again.join(gone, ["id", "set_id"], "left_anti").withColumn("n", F.when(F.col("set_id").isNull(), 1).otherwise(F.row_number().over(same))).where("n = 1")
+    return left.select("own.*").unionByName(again.select("own.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
