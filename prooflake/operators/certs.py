@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import closure
+
 
 def premise_join(steps: DataFrame, premises: DataFrame) -> DataFrame:
     """(cid, id, rule, p, premise_rule): each step with the latest earlier step of every cited id."""
@@ -19,29 +21,11 @@ def dangling(steps: DataFrame, premises: DataFrame) -> DataFrame:
     return premises.join(steps.select("cid", F.col("id").alias("p")).distinct(), ["cid", "p"], "left_anti").select("cid", "id", "p")
 
 
-def provenance(steps: DataFrame, premises: DataFrame, deepest: int = 32) -> DataFrame:
-    """(cid, id, rules): the distinct rules of a step's ancestors and itself, sorted.
-
-    Step ids end at 31, so paths do too: closure doubles its reach each round, at most five rounds.
-    """
-    edges = premises.join(steps.select("cid", F.col("id").alias("p")), ["cid", "p"], "left_semi").select("cid", "id", "p")
-    reach = edges.unionByName(steps.select("cid", "id", F.col("id").alias("p"))).distinct()
-    hops = 1
-    while hops < deepest:
-        half = reach.select("cid", F.col("id").alias("p"), F.col("p").alias("q"))
-        reach = reach.join(half, ["cid", "p"]).select("cid", "id", F.col("q").alias("p")).distinct()
-        hops *= 2
-    rules = reach.join(steps.select("cid", F.col("id").alias("p"), "rule"), ["cid", "p"])
-    return rules.groupBy("cid", "id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
-
-
-def live_steps(steps: DataFrame, premises: DataFrame, deepest: int = 32) -> DataFrame:
+def live_steps(steps: DataFrame, premises: DataFrame) -> DataFrame:
     """Steps that the last step depends on: shapes without dead steps come from these."""
     last = steps.groupBy("cid").agg(F.max_by("id", "pos").alias("id"))
-    found, frontier = last, last
-    for _ in range(deepest):
-        frontier = frontier.join(premises, ["cid", "id"]).select("cid", F.col("p").alias("id")).distinct()
-        found = found.unionByName(frontier).distinct()
+    reach = closure(premises.select("cid", "id", "p"), ["cid"])
+    found = last.unionByName(last.join(reach, ["cid", "id"]).select("cid", F.col("p").alias("id"))).distinct()
     return steps.join(found, ["cid", "id"], "left_semi")
 
 

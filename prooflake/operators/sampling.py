@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analytics import six
+from .scan import moving_average
 
 
 def laplace(successes: Column, attempts: Column) -> Column:
@@ -33,15 +34,9 @@ def weights(df: DataFrame, fresh: Column, weight: float = 4.0) -> DataFrame:
 
 
 def ema(per_round: DataFrame, at: str, value: str, keep: float = 0.9) -> DataFrame:
-    """(at, value, baseline): b <- keep b + (1 - keep) value in round order, from 0.
-
-    The recurrence is one ordered fold over a row per round; an array of running values comes out of it at once.
-    """
-    rounds = per_round.agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("r"))
-    start = F.array().cast("array<double>")
-    run = F.aggregate("r", start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(F.get(acc, F.size(acc) - 1)) * keep + (1 - keep) * x[value])))
-    zipped = F.arrays_zip(F.col("r").alias("r"), run.alias("b"))
-    return rounds.select(F.explode(zipped).alias("x")).select(F.col(f"x.r.{at}").alias(at), six(F.col(f"x.r.{value}")).alias(value), six(F.col("x.b")).alias("baseline"))
+    """(at, value, baseline): b <- keep b + (1 - keep) value in round order, from 0; any number of rounds."""
+    run = moving_average(per_round, [], [at], value, keep)
+    return run.select(at, six(F.col(value)).alias(value), six(F.col("average")).alias("baseline"))
 
 
 def advantage(df: DataFrame, reward: Column, baseline: Column, top: float = 100) -> DataFrame:

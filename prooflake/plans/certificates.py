@@ -178,37 +178,26 @@ def buffer_scan(spark, sf):
 
 # ---- structure: relational checks
 
-_ST = "(1,1,0,'ASSUME'),(1,2,1,'CONJUNCT1'),(1,3,2,'CONJUNCT2'),(1,4,3,'CONJ'),(1,5,4,'DISCH'),(2,1,0,'REFL'),(2,2,1,'TRANS'),(3,1,0,'REFL'),(3,1,1,'ASSUME'),(3,2,2,'GEN')"
-_PR = "(1,2,1),(1,3,1),(1,4,3),(1,4,2),(1,5,4),(2,2,1),(2,2,99),(3,2,1)"
-_WITH = f"st(cid, id, pos, rule) AS (VALUES {_ST}), pr(cid, id, p) AS (VALUES {_PR})"
+_PR = f"""{STEPS}, st AS (SELECT user_id || '/' || d AS cid, pos AS id, rule FROM steps),
+pr AS (SELECT s.user_id || '/' || s.d AS cid, s.pos AS id, CAST(regexp_extract(e.props, '"k": ([0-9]+)', 1) AS BIGINT) AS p FROM steps s JOIN events e USING (event_id))"""
 
 
-def _fixture(spark):
-    return spark.sql(f"SELECT * FROM VALUES {_ST} AS t(cid, id, pos, rule)"), spark.sql(f"SELECT * FROM VALUES {_PR} AS t(cid, id, p)")
+def _cited(spark, sf):
+    """Steps of event traces, and as premises the position that an event's properties name."""
+    st = steps(spark, sf).select(F.concat_ws("/", "user_id", "d").alias("cid"), F.col("pos").alias("id"), "rule", "pos", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("long").alias("p"))
+    return st.drop("p"), st.select("cid", "id", "p")
 
 
-@query(
-    f"""WITH {_WITH}, c AS (SELECT s.cid, s.id, s.rule, pr.p, e.rule AS premise_rule, row_number() OVER (PARTITION BY s.cid, s.id, s.rule, pr.p ORDER BY e.pos DESC) AS k
-FROM st s JOIN pr ON s.cid = pr.cid AND s.id = pr.id JOIN st e ON e.cid = s.cid AND e.id = pr.p AND e.pos < s.pos) SELECT cid, id, rule, p, premise_rule FROM c WHERE k = 1"""
-)
+@query(f"WITH {_PR} SELECT s.cid, s.id, s.rule, pr.p, e.rule AS premise_rule FROM st s JOIN pr ON s.cid = pr.cid AND s.id = pr.id JOIN st e ON e.cid = s.cid AND e.id = pr.p AND e.id < s.id")
 def premise_join(spark, sf):
     """Each step with the latest earlier step of the ids that it cites."""
-    return R.premise_join(*_fixture(spark))
+    return R.premise_join(*_cited(spark, sf))
 
 
-@query(f"WITH {_WITH} SELECT cid, id, p FROM pr ANTI JOIN (SELECT DISTINCT cid, id AS p FROM st) x USING (cid, p)")
+@query(f"WITH {_PR} SELECT cid, id, p FROM pr ANTI JOIN (SELECT DISTINCT cid, id AS p FROM st) x USING (cid, p)")
 def dangling_premises(spark, sf):
     """Citations of steps that don't exist."""
-    return R.dangling(*_fixture(spark))
-
-
-@query(
-    f"""WITH RECURSIVE {_WITH}, r AS (SELECT cid, id, id AS p FROM st UNION SELECT r.cid, r.id, pr.p FROM r JOIN pr ON pr.cid = r.cid AND pr.id = r.p JOIN st ON st.cid = pr.cid AND st.id = pr.p)
-SELECT r.cid, r.id, array_to_string(list_sort(list(DISTINCT st.rule)), ',') AS rules FROM r JOIN st ON st.cid = r.cid AND st.id = r.p GROUP BY r.cid, r.id"""
-)
-def provenance(spark, sf):
-    """Rules of each step's ancestors."""
-    return R.provenance(*_fixture(spark))
+    return R.dangling(*_cited(spark, sf))
 
 
 _AX = "('add_zero', 'nat'), ('prime_two', 'bool')"
