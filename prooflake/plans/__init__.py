@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, certificates, corpora, recurrences, sequences, verdicts
+from . import audits, certificates, changes, corpora, recurrences, sequences, verdicts
 
 QUERIES, ORACLE = {}, {}
-for _m in (sequences, corpora, audits, certificates, verdicts, recurrences):
+for _m in (sequences, corpora, audits, certificates, verdicts, recurrences, changes):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
