@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import views as V
+from ..operators.keyindex import KeyIndex
 from ..shared import fresh_path, kept
+from ..sources.trace_files import register
 from ..streaming import state as S
 from .tables import BASELINE, TRACES, table, traces
 
@@ -77,3 +79,23 @@ def novelty_after_changes(spark, sf):
     """Shapes of that buffer, and those that its baseline days don't have."""
     shapes = lambda t: t.select("shape", (F.col("d") <= BASELINE).alias("baseline"))
     return V.novelty(_changed(spark, sf, ["shape", "baseline"], shapes).read())
+
+
+@query(f"WITH {TRACES} SELECT shape, CAST(min(CASE WHEN d <= DATE '2024-01-08' THEN 1 WHEN d <= DATE '2024-01-16' THEN 2 ELSE 3 END) AS INT) AS batch FROM traces GROUP BY shape")
+def indexed_shapes(spark, sf):
+    """The batch of days that brings each shape first, by an index of keys that is kept between the batches."""
+    t = kept(traces(spark, sf), "traces")
+    index = KeyIndex(spark, fresh_path(spark, "index"), ["shape"])
+    batch = F.when(F.col("d") <= "2024-01-08", 1).when(F.col("d") <= "2024-01-16", 2).otherwise(3)
+    found = [index.add(t.where(batch == k)).select("shape", F.lit(k).alias("batch")) for k in (1, 2, 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT conv_id AS id, turn AS pos, role, md5(text) AS digest FROM conversations WHERE role = 'assistant'")
+def step_files(spark, sf):
+    """The answers in all conversations, written as step files and read back with the role pushed into the reader."""
+    register(spark)
+    path = fresh_path(spark, "steps")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "role", "text")
+    c.write.format("steps").mode("append").save(path)
+    return spark.read.format("steps").load(path).where("role = 'assistant'").select("id", "pos", "role", F.md5("text").alias("digest"))

@@ -20,10 +20,10 @@ class Conflict(RuntimeError):
 
 
 class Versions:
-    """One table; ``root`` lies on any file system that Spark reads."""
+    """One table; ``root`` lies on any file system that Spark reads.  ``by``: columns whose values are folders of their own."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, by: tuple[str, ...] = ()):
+        self.spark, self.root, self.by = spark, root.rstrip("/"), by
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path("").getFileSystem(self.conf)
 
@@ -49,23 +49,27 @@ class Versions:
         if not numbers or version is not None and version not in numbers:
             raise FileNotFoundError(f"{self.root}: no version{'' if version is None else f' {version}'}")
         e = self.entry(numbers[-1] if version is None else version)
-        return self.spark.read.schema(e["schema"]).parquet(*(f"{self.root}/data/{f}" for f in e["folders"]))
+        folders = [f"{self.root}/data/{f}" for f in e["folders"]]
+        if not self.by:
+            return self.spark.read.schema(e["schema"]).parquet(*folders)
+        return self.spark.read.option("basePath", f"{self.root}/data").schema(f"{e['schema']}, `commit` string").parquet(*folders).drop("commit")
 
     # ---- writers
 
-    def commit(self, df: DataFrame, append: bool = False, base: int | None = None, columns: str | None = None) -> int:
+    def commit(self, df: DataFrame, append: bool = False, base: int | None = None) -> int:
         """Make ``df`` the next version, alone or after the rows of ``base`` (the latest if none is named); its number."""
         numbers = self.versions()
         base = base if base is not None else numbers[-1] if numbers else 0
-        old = self.entry(base) if base and append else {"folders": [], "schema": columns}
-        folder = uuid.uuid4().hex
+        old = self.entry(base) if base and append else {"folders": [], "schema": None}
+        folder = f"commit={uuid.uuid4().hex}"
         self._write(df, folder)
         schema = old["schema"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         self._publish(base + 1, {"folders": [*old["folders"], folder], "schema": schema})
         return base + 1
 
     def _write(self, df: DataFrame, folder: str) -> None:
-        df.write.parquet(f"{self.root}/data/{folder}")
+        writer = df.write.partitionBy(*self.by) if self.by else df.write
+        writer.parquet(f"{self.root}/data/{folder}")
 
     def _publish(self, number: int, entry: dict) -> None:
         made = self._path(f"versions/.{uuid.uuid4().hex}")
