@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .secrets_scan import _let, scan_array
 
 #: Fixed by the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -69,14 +70,14 @@ def _starts(text: Column, pattern: str) -> Column:
     """Word number of each place of a phrase: the words before it."""
     gaps = F.split(text, pattern, -1)
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    word = F.lit(_WORD)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    n = lambda x: F.regexp_count(x, F.lit(_WORD)).cast("long")
+    sized = F.transform(F.arrays_zip(own.alias("m"), F.slice(gaps, F.lit(1), F.size(own)).alias("g")), lambda x: F.struct(n(x["g"]).alias("g"), n(x["m"]).alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.regexp_count(x["g"], word)
-        return F.struct((s + F.regexp_count(x["m"], word)).alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))
+    def placed(s: Column) -> Column:
+        before = scan_array(F.transform(s, lambda y: y["g"] + y["m"]), F.lit(0).cast("long"), lambda a, y: a + y, "bigint")
+        return F.zip_with(s, before, lambda y, b: b + y["g"])
 
-    return F.aggregate(F.arrays_zip(own.alias("m"), F.slice(gaps, F.lit(1), F.size(own)).alias("g")), start, step, lambda acc: acc["out"])
+    return _let(sized, placed)
 
 
 def _base(text: Column) -> Column:

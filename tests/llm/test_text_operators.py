@@ -342,6 +342,12 @@ def test_wrapped_templates_of_a_table_are_found(spark, frame):
     assert license_scan.scan(spark, frame(docs), {}).where("labels IS NOT NULL").count() == 0
 
 
+def test_many_places_in_one_text(spark, frame):
+    began, n = time.time(), 60_000
+    r = license_scan.scan(spark, frame([(1, "cc by " * n + "x all rights reserved")])).first()
+    assert r.base["cc-by"] == list(range(0, 2 * n, 2)) and r.base["reserved"] == [2 * n + 1] and time.time() - began < 60
+
+
 # ---- quality
 
 
