@@ -6,7 +6,8 @@ and ``continuation`` records.  Spark's text writer with the record separator as
 WARC/1.1 files, so the archives go to any store that Spark can write.
 
 Reading.  Records are cut by Content-Length.  Segments are grouped by their origin's record id, ordered by segment
-number, checked for gaps and against WARC-Segment-Total-Length, and joined; then the chunked framing is decoded and
+number, checked for gaps and against WARC-Segment-Total-Length, and joined, one page a group: repeated rows have equal
+record ids, so their segments carry a mark of the row they come from; then the chunked framing is decoded and
 the payload checked against WARC-Payload-Digest.
 
 Defined cases: null html is an empty payload (equal to other empty payloads when ``min_bytes`` is 0); a null page_id
@@ -23,6 +24,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +85,11 @@ def _record(kind: str, rid: str, fields: dict[str, object], block: bytes) -> byt
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None).encode() + _CRLF + block
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page; ``first``: the page with the same payload that this one revisits."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment_bytes: int = SEGMENT_BYTES, copy: str | None = None) -> list[bytes]:
+    """The records of one page; ``first``: the page with the same payload that this one revisits.
+
+    ``copy`` tells the segments of repeated rows apart, whose ids are equal.
+    """
     digest = digest32(payload)
     rid = record_id(page_id, digest)
     uri = "urn:page" if url is None else "".join(url.split())
@@ -97,11 +102,11 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first: in
     kind = {"Content-Type": "application/http; msgtype=response"}
     if len(parts) == 1:
         return [_record("response", rid, named | kind, parts[0])]
-    out = [_record("response", rid, named | kind | {"WARC-Segment-Number": 1}, parts[0])]
+    out = [_record("response", rid, named | kind | {"WARC-Segment-Number": 1, "X-Copy": copy}, parts[0])]
     for k, p in enumerate(parts[1:], 2):
         own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{digest}/{k}')}>"
         last = sum(map(len, parts)) if k == len(parts) else None
-        out.append(_record("continuation", own, {"WARC-Target-URI": uri, "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": last}, p))
+        out.append(_record("continuation", own, {"WARC-Target-URI": uri, "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": last, "X-Copy": copy}, p))
     return out
 
 
@@ -143,7 +148,7 @@ def join_segments(found: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-_PARSED = "origin string, page_id long, record_type string, refers_to long, digest string, segment int, total long, payload_bytes long, block binary, payload binary"
+_PARSED = "origin string, copy string, page_id long, record_type string, refers_to long, digest string, segment int, total long, payload_bytes long, block binary, payload binary"
 _ROWS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -179,14 +184,14 @@ def _parser(with_payload: bool):
                     ref = None if (p := head.get("x-refers-to-page-id")) is None else int(p)
                     total = None if (p := head.get("warc-segment-total-length")) is None else int(p)
                     if kind == "continuation" or number is not None:
-                        rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), page, kind, ref, digest, int(number), total, None, block, None))
+                        rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), head.get("x-copy"), page, kind, ref, digest, int(number), total, None, block, None))
                         held += len(block)
                     elif kind == "revisit":
                         n = next(int(x.split(b":")[1]) for x in block.split(_CRLF) if x.lower().startswith(b"content-length:"))
-                        rows.append((head["warc-record-id"], page, kind, ref, digest, None, None, n, None, None))
+                        rows.append((head["warc-record-id"], None, page, kind, ref, digest, None, None, n, None, None))
                     elif kind == "response":
                         payload = _checked(block, digest)
-                        rows.append((head["warc-record-id"], page, kind, ref, digest, None, None, len(payload), None, payload if with_payload else None))
+                        rows.append((head["warc-record-id"], None, page, kind, ref, digest, None, None, len(payload), None, payload if with_payload else None))
                         held += len(payload) * with_payload
                     if held > 8 << 20:
                         yield _batch(rows, schema)
@@ -230,10 +235,12 @@ def write_archives(pages: DataFrame, path: str, refers: DataFrame, segment_bytes
     """WARC files under ``path``: one record per page, more for long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, held = [], 0
             for page_id, url, html, first in zip(*(batch.column(k) for k in ("page_id", "url", "html", "refers_to")), strict=True):
-                new = page_records(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8"), first.as_py(), segment_bytes)
+                new = page_records(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8"), first.as_py(), segment_bytes, f"{part}/{row}")
+                row += 1
                 out += new
                 held += sum(map(len, new))
                 if held > 8 << 20:
@@ -250,10 +257,10 @@ def write_archives(pages: DataFrame, path: str, refers: DataFrame, segment_bytes
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows (page_id, record_type, refers_to, payload_bytes, payload_digest, payload), one per response or revisit."""
     parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parser(with_payload), _PARSED)
-    # whole records pass by; only segments are grouped, by their origin
+    # whole records pass by; only segments are grouped, by their origin and, in archives written here, their row
     one = F.struct("segment", "total", "block", "page_id", "digest")
     whole = parsed.where("segment IS NULL").select("page_id", "record_type", "refers_to", "payload_bytes", F.col("digest").alias("payload_digest"), "payload")
-    parts = parsed.where("segment IS NOT NULL").groupBy("origin").agg(F.collect_list(one).alias("found")).select("found")
+    parts = parsed.where("segment IS NOT NULL").groupBy("origin", "copy").agg(F.collect_list(one).alias("found")).select("found")
     return whole.unionByName(parts.mapInArrow(_joiner(with_payload), _ROWS))
 
 

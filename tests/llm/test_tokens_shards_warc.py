@@ -195,3 +195,13 @@ def test_segments_and_chunks():
             warc.join_segments(bad)
     with pytest.raises(ValueError):
         warc.dechunk(b"5\r\nabc")
+
+
+def test_segments_of_repeated_pages_are_groups_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 4000)] * 30 + [(2, "u", "é" * 4000)], "page_id long, url string, html string").repartition(4)
+    warc.write_archives(pages, f"{tmp_path}/a", warc.revisits(pages), 700)
+    parsed = spark.read.format("binaryFile").load(f"{tmp_path}/a").select("content").mapInArrow(warc._parser(False), warc._PARSED)
+    sizes = [r["count"] for r in parsed.where("segment IS NOT NULL").groupBy("origin", "copy").count().collect()]
+    assert len(sizes) == 30 and len(set(sizes)) == 1 and sizes[0] < 20
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()]
+    assert sorted(got) == [(1, "response", None, 8000)] * 30 + [(2, "revisit", 1, 8000)]
