@@ -6,10 +6,11 @@ that a browser wouldn't show; the renderer lays out blocks, lists and tables:
 
 * block elements start on a line of their own, paragraphs, headings, lists and tables with an empty line around them;
 * white space is collapsed as in a browser, kept in ``pre`` and ``textarea``; ``br`` breaks the line;
-* list items get ``- `` or their number, nested lists are indented by two more columns;
+* list items get ``- `` or their number, nested lists are indented by two more columns, up to ``MOST_INDENT``;
 * table cells are padded to the width of their column (a spanning cell to its columns together).
 
-Everything that is visible is emitted: navigation and advertisements too.  Defined cases: null and empty html give an
+Everything that is visible is emitted: navigation and advertisements too, text of drawings and formulas, what stands in
+for objects, and parts that are made visible again inside ones that aren't.  Defined cases: null and empty html give an
 empty text; broken markup is read as far as it goes (an unclosed tag at the end is text); repeated rows are rows of
 their own; an empty table gives no rows; further columns of the input are ignored; pages are never cut, and
 nesting may have any depth.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas annotation annotation-xml datalist title meta link base param source track area".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
@@ -63,6 +64,13 @@ _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_SHOWN = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
+#: Of a drawing these may hold text; titles, descriptions and definitions aren't drawn.
+_DRAWN = frozenset("svg g a switch".split())
+_WRITTEN = frozenset("text foreignobject".split())
+#: Columns of indentation; deeper parts are indented as much.
+MOST_INDENT = 80
 
 
 class Node:
@@ -232,76 +240,140 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _INVISIBLE.search(a["style"]))
 
 
+class Frame:
+    """An indented part: ``mark`` stands before its first line, as many spaces before the others."""
+
+    __slots__ = ("start", "mark", "gap", "outer")
+
+    def __init__(self, start: int, mark: str, gap: int):
+        self.start, self.mark, self.gap = start, mark, gap
+        self.outer: str | None = None  # the indentation around it, once its first line is out
+
+
 class Lines:
-    """Output lines with collapsed white space and block spacing."""
+    """Output lines with collapsed white space, block spacing and indented parts, in one pass."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is open
         self.space = False
         self.gap = 0  # empty lines asked for before the next text
+        self.frames: list[Frame] = []
+        self.waiting = 0  # how many of the last frames have no line yet
+        self.indent = ""
 
     def text(self, s: str) -> None:
         words = _SPACES.sub(" ", s)
         if words == " ":
-            self.space = self.space or bool(self.line)
+            self.space = self.space or bool(self.parts)
             return
         if not words:
             return
         self._open()
-        if (self.space or words[0] == " ") and self.line and not self.line.endswith(" "):
-            self.line += " "
+        if (self.space or words[0] == " ") and self.parts and self.parts[-1][-1] != " ":
+            self.parts.append(" ")
         self.space = words[-1] == " "
-        self.line += words.strip(" ")
+        self.parts.append(words.strip(" "))
 
     def raw(self, s: str) -> None:
-        parts = s.split("\n")
-        for k, p in enumerate(parts):
+        for k, p in enumerate(s.split("\n")):
             if k:
-                self.lines.append(self.line)
-                self.line = ""
-            if p:
+                self._put("".join(self.parts))
+                self.parts = []
+            if p := p.rstrip("\r"):
                 self._open()
-                self.line += p.rstrip("\r")
+                self.parts.append(p)
+
+    def _begun(self) -> bool:
+        """Whether the part that is open has a line."""
+        return not self.waiting and len(self.lines) > (self.frames[-1].start if self.frames else 0)
 
     def _open(self) -> None:
-        if self.gap and not self.line:
-            if self.lines:
-                have = 0
-                while have < self.gap and have < len(self.lines) and not self.lines[-1 - have]:
-                    have += 1
-                self.lines += [""] * (self.gap - have)
-            self.gap = 0
+        if self.parts:
+            return
+        if self.waiting:  # what the outermost part without a line was to be set off by
+            first = self.frames[-self.waiting]
+            parent = self.frames[-self.waiting - 1].start if len(self.frames) > self.waiting else 0
+            self._empty_lines(first.gap, parent)
+            first.gap = 0
+        elif self.gap:
+            self._empty_lines(self.gap, self.frames[-1].start if self.frames else 0)
+        self.gap = 0
+
+    def _empty_lines(self, n: int, start: int) -> None:
+        have = 0
+        if len(self.lines) > start:
+            while have < n and have < len(self.lines) - start and not self.lines[-1 - have]:
+                have += 1
+            self.lines += [""] * (n - have)
+
+    def _put(self, s: str, always: bool = False) -> None:
+        s = s.rstrip(" ")
+        if not s and not always:
+            if not self.waiting:
+                self.lines.append("")
+            return
+        if not self.waiting:
+            self.lines.append(self.indent + s)
+            return
+        marks = [f.mark for f in self.frames[-self.waiting :]]
+        self.lines.append(self.indent + "".join(marks) + s)
+        for f in self.frames[-self.waiting :]:
+            f.outer = self.indent
+            if len(self.indent) < MOST_INDENT:
+                self.indent += " " * len(f.mark)
+        self.waiting = 0
 
     def end_line(self) -> None:
-        if self.line:
-            self.lines.append(self.line.rstrip(" "))
-        self.line, self.space = "", False
+        if self.parts:
+            self._put("".join(self.parts))
+        self.parts, self.space = [], False
 
     def br(self) -> None:
-        if self.line:
+        if self.parts:
             self.end_line()
-        elif self.lines and not self.gap:
+        elif self._begun() and not self.gap:
             self.lines.append("")
 
     def block(self, gap: int) -> None:
         self.end_line()
         self.gap = max(self.gap, gap)
 
+    def push(self, mark: str) -> None:
+        """From here on lines stand behind ``mark``."""
+        self.end_line()
+        self.frames.append(Frame(len(self.lines), mark, self.gap))
+        self.waiting += 1
+        self.gap = 0
+
+    def pop(self, always: bool = False) -> None:
+        """End of what ``push`` began; ``always``: a part without lines shows its mark."""
+        self.end_line()
+        if self.waiting and always:
+            self._open()
+            self._put("", True)
+        frame = self.frames.pop()
+        if self.waiting:
+            self.waiting -= 1
+            self.gap = frame.gap
+            return
+        while len(self.lines) > frame.start and not self.lines[-1]:
+            self.lines.pop()
+        self.indent, self.gap = frame.outer or "", 0
+
     def add(self, lines: list[str]) -> None:
         self.end_line()
         for s in lines:
             self._open()
-            self.lines.append(s)
+            self._put(s)
 
     def done(self) -> list[str]:
         self.end_line()
         out = [s.rstrip(" ") for s in self.lines]
-        while out and not out[0]:
-            out.pop(0)
+        first = next((k for k, s in enumerate(out) if s), len(out))
         while out and not out[-1]:
             out.pop()
-        return out
+        return out[first:]
 
 
 def _lay(node: Node, out: Lines, depth: int) -> None:
@@ -310,6 +382,33 @@ def _lay(node: Node, out: Lines, depth: int) -> None:
             out.text(child)
         elif visible(child):
             _element(child, out, depth)
+        else:
+            _revealed(child, out, depth)
+
+
+def _revealed(node: Node, out: Lines, depth: int) -> None:
+    """Descendants of an invisible element, still in the flow, that are made visible again."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        style = n.attrs.get("style", "")
+        if n is not node and _SHOWN.search(style) and visible(n):
+            _element(n, out, depth)
+        elif n.tag not in HIDDEN and "hidden" not in n.attrs and not _GONE.search(style) and (n is not node or _INVISIBLE.search(style)):
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+
+
+def _drawing(node: Node, out: Lines, depth: int) -> None:
+    """The text of a drawing, each piece on its own."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag in _WRITTEN:
+            out.space = out.space or bool(out.parts)
+            _lay(n, out, depth)
+            out.space = out.space or bool(out.parts)
+        elif n.tag in _DRAWN:
+            todo += [c for c in reversed(n.children) if isinstance(c, Node) and visible(c)]
 
 
 def _flat(node: Node, depth: int) -> list[str]:
@@ -322,6 +421,8 @@ def _element(node: Node, out: Lines, depth: int) -> None:
     tag = node.tag
     if tag == "br":
         out.br()
+    elif tag == "svg":
+        _drawing(node, out, depth)
     elif tag == "hr":
         out.block(1)
     elif tag in ("pre", "textarea", "xmp", "listing"):
@@ -352,10 +453,14 @@ def _element(node: Node, out: Lines, depth: int) -> None:
         out.block(0)
     elif tag == "dd":
         out.block(0)
-        out.add(["  " + s for s in _flat(node, depth)])
+        out.push("  ")
+        _lay(node, out, depth)
+        out.pop()
     elif tag == "blockquote":
         out.block(1)
-        out.add(["  " + s if s else s for s in _flat(node, depth)])
+        out.push("  ")
+        _lay(node, out, depth)
+        out.pop()
         out.block(1)
     elif tag in BLOCK:
         gap = 1 if tag in SPACED else 0
@@ -393,8 +498,9 @@ def _list(node: Node, out: Lines, depth: int) -> None:
                 number = int(value)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            body = _flat(child, depth + 1) or [""]
-            out.add([mark + body[0], *(" " * len(mark) + s if s else s for s in body[1:])])
+            out.push(mark)
+            _lay(child, out, depth + 1)
+            out.pop(always=True)
         else:
             _element(child, out, depth + 1)
 

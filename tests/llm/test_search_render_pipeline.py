@@ -232,6 +232,28 @@ def test_visible_words_equal_another_reader():
         assert sorted(re.findall(r"w\d+x?", got)) == sorted(want.words)
 
 
+SEEN = [
+    ("<svg><title>no</title><defs><text>no</text></defs><text>vis</text><g><text>two</text></g></svg>", "vis two"),
+    ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math>", "x="),
+    ("<object data=x>instead</object>", "instead"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b><i style='display:none'><b style='visibility:visible'>no</b></i></div>", "yes"),
+    ("<ul><li>a<blockquote>q<p>r</blockquote>b<li><li><ol><li>x</ol></ul>end", "- a\n\n    q\n\n    r\n\n  b\n-\n- 1. x\n\nend"),
+    ("<dl><dt>t<dd>d<p>e</dl>", "t\n  d\n\n  e"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SEEN)
+def test_all_that_is_seen(source, want):
+    assert html_render.render(source) == want
+
+
+@pytest.mark.parametrize(("piece", "n"), [("<b>ab</b> ", 100_000), ("<ul><li>a", 100_000), ("<blockquote>a", 70_000), ("<dl><dd>a", 100_000), ("a<br>", 200_000), ("<svg><text>a", 50_000)])
+def test_a_megabyte_of_one_thing(piece, n):
+    began = time.time()
+    text = html_render.render(piece * n)
+    assert text.count("a") == n and len(text) < 100 * n and time.time() - began < 20  # 1 to 6 s alone
+
+
 # ---- pipeline
 
 
