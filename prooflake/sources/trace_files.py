@@ -23,7 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "id bigint, pos bigint, role string, text string"
-LINE = re.compile(r'\(step (-?\d+|nil) (-?\d+|nil) \(role (nil|"(?:[^"\\]|\\.)*")\) \(text (nil|"(?:[^"\\]|\\.)*")\)\)', re.S)
+LINE = re.compile(r'\(step (-?\d+|nil) (-?\d+|nil) \(role (nil|"(?:[^"\\]|\\.)*")\) \(text (nil|"(?:[^"\\]|\\.)*")\)\)\Z', re.S)
+LIST = re.compile(r"\d+\.json\Z")
 _OUT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"}
 _IN = {"n": "\n", "r": "\r"}
 
@@ -48,7 +49,7 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
 def listed(path: str, after: int = 0, upto: int | None = None) -> list[dict]:
     """The files of the lists with numbers in (after, upto], in order."""
     fs, root = place(path)
-    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(f"{root}/lists", allow_not_found=True)) if re.fullmatch(r"\d+\.json", f.base_name)]
+    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(f"{root}/lists", allow_not_found=True)) if LIST.match(f.base_name)]
     out = []
     for n in sorted(int(x[:-5]) for x in names):
         if n > after and (upto is None or n <= upto):
@@ -59,7 +60,7 @@ def listed(path: str, after: int = 0, upto: int | None = None) -> list[dict]:
 
 def newest(path: str) -> int:
     fs, root = place(path)
-    return max((int(f.base_name[:-5]) for f in fs.get_file_info(pafs.FileSelector(f"{root}/lists", allow_not_found=True)) if re.fullmatch(r"\d+\.json", f.base_name)), default=0)
+    return max((int(f.base_name[:-5]) for f in fs.get_file_info(pafs.FileSelector(f"{root}/lists", allow_not_found=True)) if LIST.match(f.base_name)), default=0)
 
 
 @dataclass
@@ -82,7 +83,7 @@ def rows_of(path: str, names: tuple[str, ...], tests: list[tuple[str, str, objec
     for name in names:
         with fs.open_input_stream(f"{root}/{name}") as f:
             for text in iter_lines(f):
-                m = LINE.fullmatch(text)
+                m = LINE.match(text)
                 if not m:
                     raise ValueError(f"{name}: not a step: {text[:80]!r}")
                 row = (None if m[1] == "nil" else int(m[1]), None if m[2] == "nil" else int(m[2]), unquoted(m[3]))
