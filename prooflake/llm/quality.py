@@ -1,10 +1,11 @@
 """Quality rules with a character n-gram language model.
 
 Base counts (words, symbols, repeated lines, words in repeated three-word windows) come from each whole text.  The
-model is modified Kneser-Ney over character 4-grams, one per language, counted by Spark over all documents, those
+model is modified Kneser-Ney over 4-grams of characters, one per language, counted by Spark over all documents, those
 that fail the base rules too: workers add up the n-grams of their texts, one aggregation joins these sums, and continuation counts, discounts and
-interpolated probabilities are relational steps over the n-gram table.  For scoring, the exact 64-bit
-n-grams are kept by language as sorted arrays that are searched by bisection: they grow with the distinct n-grams.
+interpolated probabilities are relational steps over the n-gram table.  Characters are UTF-16 units, so that four of
+them are 64 bits without a collision: a character beyond U+FFFF is two.  For scoring, Spark sorts the n-grams into arrays
+in files of the shared folder (``pages``), which tasks search by bisection: neither the driver nor a worker holds them all.
 A document is rejected if a base rule fails or its log-perplexity lies outside its language's band: the quartiles of
 all documents of the language that pass the base rules, widened by multiples of their distance.
 
@@ -15,6 +16,7 @@ empty table gives no rows; further columns of the input are ignored by the query
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .pages import Pages, store
 from .scratch import Scratch
 
 ORDER = 4
@@ -40,7 +43,7 @@ BIN = 0.005
 #: n-grams of more than one character that occur so often at most are left to the lower order: a text's own oddities
 #: must not make it probable.
 PRUNE = 2
-BOS, ASTRAL = 0xFFFF, 0xE000
+BOS = 0xFFFF
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 NO_LANG = "\x00"
@@ -91,15 +94,20 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character, packed in 64 bits, and each row's bounds among them."""
-    cp = np.frombuffer(K.LOWER[data].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(K.U)
-    cp = np.where(cp > 0xFFFF, K.U(ASTRAL) + (cp & K.U(0xFFF)), cp)
-    bounds = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
-    place = np.arange(len(cp)) - np.repeat(bounds[:-1], np.diff(bounds))
-    key = cp.copy()
+    """The 4-gram that ends at each UTF-16 unit, packed in 64 bits, and each row's bounds among them."""
+    width = ((data & 0xC0) != 0x80).astype(np.int64) + (data >= 0xF0)
+    text = K.LOWER[data].tobytes().decode("utf-8", "replace")
+    if "\uffff" in text:  # the unit that stands before a text's first one: here two units that no other character has
+        at = np.flatnonzero((data[:-2] == 0xEF) & (data[1:-1] == 0xBF) & (data[2:] == 0xBF))
+        width[at] += 1
+        text = text.replace("\uffff", "\udfff\udfff")
+    unit = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(K.U)
+    bounds = np.concatenate(([0], np.cumsum(width)))[offsets]
+    place = np.arange(len(unit)) - np.repeat(bounds[:-1], np.diff(bounds))
+    key = unit.copy()
     for k in range(1, ORDER):
-        before = np.full(len(cp), BOS, K.U)
-        before[k:] = cp[: len(cp) - k]
+        before = np.full(len(unit), BOS, K.U)
+        before[k:] = unit[: len(unit) - k]
         before[place < k] = BOS
         key |= before << K.U(16 * k)
     return key.view(np.int64), bounds
@@ -181,45 +189,29 @@ def kneser_ney(counts: DataFrame, keep: Scratch) -> list[DataFrame]:
     return done
 
 
-def _arrays(table: DataFrame, value: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language the sorted keys of ``table`` and the log of ``value``: all its rows, 12 bytes each."""
-    t = table.select("lang", "key", F.log(value).cast("float").alias("v")).toArrow()
-    code, langs = pd.factorize(t.column("lang").to_pandas())
-    key, v = t.column("key").to_numpy(), t.column("v").to_numpy()
-    by = np.lexsort((key, code))
-    at = np.searchsorted(code[by], np.arange(len(langs) + 1))
-    return {lang: (key[by[lo:hi]], v[by[lo:hi]]) for lang, lo, hi in zip(langs, at[:-1], at[1:])}
+#: Parts of the pages: log p of the n-grams of order k is part k, log gamma of the contexts of order k part GAMMA + k.
+GAMMA = 10
 
 
 class Model:
-    """Per order and language sorted n-grams with log p, and per order above 1 sorted contexts with log gamma."""
+    """Per language and order sorted n-grams with log p, and per order above 1 sorted contexts with log gamma."""
 
-    def __init__(self, p: list[dict[str, tuple[np.ndarray, np.ndarray]]], gamma: list[dict[str, tuple[np.ndarray, np.ndarray]]]):
-        self.p, self.gamma = p, gamma
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray] | None, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if table is None:
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        keys, values = table
-        at = np.searchsorted(keys, key)
-        at[at == len(keys)] = 0
-        return keys[at] == key, values[at].astype(np.float64)
+    def __init__(self, pages: Pages):
+        self.pages = pages
 
     def log_p(self, key: np.ndarray, lang: str) -> np.ndarray:
         """log p of the last character of each 4-gram, backing off where the model doesn't hold an n-gram."""
         out, todo = np.zeros(len(key)), np.arange(len(key))
         for order in range(ORDER, 0, -1):
             own = key[todo] & np.int64(-1 if order == ORDER else (1 << 16 * order) - 1)
-            hit, v = self._find(self.p[order - 1].get(lang), own)
+            hit, v = self.pages.find(lang, order, own)
             out[todo[hit]] += v[hit]
             todo = todo[~hit]
             if not len(todo):
                 return out
             if order > 1:
                 ctx = (own[~hit].view(K.U) >> K.U(16)).view(np.int64)
-                known, g = self._find(self.gamma[order - 1].get(lang), ctx)
-                out[todo] += np.where(known, g, 0)
+                out[todo] += self.pages.find(lang, GAMMA + order, ctx)[1]
         out[todo] += np.log(1 / 0x110000)
         return out
 
@@ -237,11 +229,14 @@ def train(docs: DataFrame, keep: Scratch) -> Model:
     counts = keep.keep(counted.groupBy("lang", "key").agg(F.sum("n").alias("c")), "counts4")
     tables = kneser_ney(counts, keep)
     often = [t if k == 1 else t.where(F.col("n") > PRUNE) for k, t in enumerate(tables, 1)]
-    p = [_arrays(t, "p") for t in often]
+    entries = [t.select("lang", F.lit(k).alias("part"), "key", F.log("p").cast("float").alias("v")) for k, t in enumerate(often, 1)]
     # what the n-grams that stay leave to the lower order, over what that order gives the others
-    rest = [t.groupBy("lang", F.col("ctx").alias("key")).agg((F.greatest(1 - F.sum("p"), F.lit(1e-6)) / F.greatest(1 - F.sum("q"), F.lit(1e-6))).alias("gamma")) for t in often[1:]]
-    gamma = [{}] + [_arrays(t, "gamma") for t in rest]
-    return Model(p, gamma)
+    for k, t in enumerate(often[1:], 2):
+        gamma = F.greatest(1 - F.sum("p"), F.lit(1e-6)) / F.greatest(1 - F.sum("q"), F.lit(1e-6))
+        entries.append(t.groupBy("lang", F.col("ctx").alias("key")).agg(F.log(gamma).cast("float").alias("v")).select("lang", F.lit(GAMMA + k).alias("part"), "key", "v"))
+    pages = store(keep.keep(functools.reduce(DataFrame.union, entries), "entries"), keep.path("pages"))
+    keep.drop("entries", "counts4", *(f"counts{k}" for k in range(1, ORDER)), *(f"order{k}" for k in range(1, ORDER + 1)))
+    return Model(pages)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -303,7 +298,7 @@ class Quality:
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.keep = Scratch(spark, "quality")
-        self.model = spark.sparkContext.broadcast(train(docs, self.keep))  # 12 bytes an n-gram that is kept
+        self.model = spark.sparkContext.broadcast(train(docs, self.keep))  # the pages' index: a row for 65,536 n-grams
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
         self.measured = self.keep.keep(source.mapInArrow(_measured(self.model), _MEASURED), "measured")
         self.bands = self.keep.keep(bands(self.measured), "bands")
