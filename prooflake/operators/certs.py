@@ -21,6 +21,11 @@ def dangling(steps: DataFrame, premises: DataFrame) -> DataFrame:
     return premises.join(steps.select("cid", F.col("id").alias("p")).distinct(), ["cid", "p"], "left_anti").select("cid", "id", "p")
 
 
+def declared(citations: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """Citations with what ``names`` (``by`` and ``since``) says of the name they cite, and whether it is declared at all."""
+    return citations.join(names, by, "left").withColumn("declared", F.col("since").isNotNull())
+
+
 def live_steps(steps: DataFrame, premises: DataFrame) -> DataFrame:
     """Steps that the last step depends on: shapes without dead steps come from these."""
     last = steps.groupBy("cid").agg(F.max_by("id", "pos").alias("id"))

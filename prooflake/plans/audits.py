@@ -233,24 +233,28 @@ def advantage(spark, sf):
     return S.advantage(t, F.col("reward"), F.lit(20.0)).select("user_id", "d", "reward", "advantage", "bonus")
 
 
-@query(f"SELECT s.id AS seed, m.method, s.id IN (13, 14, 15, 16, 17, 18, 19, 20, 21, 22) AS ood FROM range({SEEDS}) s(id), (VALUES ('greedy'), ('sample'), ('tree')) m(method)")
-def eval_grid(spark, sf):
-    """Every method on every seed."""
-    return _grid(spark)
+METHODS = ("greedy", "sample", "tree")
+_USERS = f"""e AS (SELECT user_id AS seed, event_type, CAST(ts AS DATE) <= DATE '{BASELINE}' AS early FROM events),
+u AS (SELECT seed, NOT bool_or(early AND event_type = 'purchase') AS ood, bool_or(early AND event_type = 'signup') AS signed FROM e GROUP BY seed)"""
+
 
+def _grid(spark, sf, methods):
+    """Methods on users; out of distribution are those who don't buy up to the baseline."""
+    early = F.col("d") <= F.lit(BASELINE).cast("date")
+    users = events(spark, sf).groupBy(F.col("user_id").alias("seed")).agg((~F.bool_or(early & (F.col("event_type") == "purchase"))).alias("ood"), F.bool_or(early & (F.col("event_type") == "signup")).alias("signed"))
+    return users.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
 
-def _grid(spark, seeds: list[int] | None = None, methods: list[str] | None = None):
-    """Methods on seeds, or the named ones of both."""
-    every = F.explode(F.array(*map(F.lit, ("greedy", "sample", "tree"))))
-    grid = spark.range(SEEDS).select(F.col("id").alias("seed"), every.alias("method"), (F.col("id") >= 13).alias("ood"))
-    grid = grid if seeds is None else grid.where(F.col("seed").isin(seeds))
-    return grid if methods is None else grid.where(F.col("method").isin(methods))
+
+@query(f"WITH {_USERS} SELECT seed, method, ood FROM u, (VALUES ('greedy'), ('sample'), ('tree')) m(method)")
+def eval_grid(spark, sf):
+    """Every method on every user."""
+    return _grid(spark, sf, METHODS).select("seed", "method", "ood")
 
 
-@query("SELECT s.id AS seed, m.method, s.id >= 13 AS ood FROM (VALUES (CAST(1 AS BIGINT)), (13), (20)) s(id), (VALUES ('sample'), ('tree')) m(method)")
+@query(f"WITH {_USERS} SELECT seed, method, ood FROM u, (VALUES ('sample'), ('tree')) m(method) WHERE signed")
 def eval_subset(spark, sf):
-    """Two methods on three seeds."""
-    return _grid(spark, [1, 13, 20], ["sample", "tree"])
+    """Two methods on the users who sign up by the baseline."""
+    return _grid(spark, sf, METHODS[1:]).where("signed").select("seed", "method", "ood")
 
 
 @query(

@@ -14,25 +14,31 @@ from ..operators import search as P
 from ..operators import verify as V
 from ..operators.latex import proof_documents
 from ..sources.files import cert_text, read_buffer, write_records
-from .tables import STEPS, TRACES, steps, traces
+from .tables import BASELINE, STEPS, TRACES, events, steps, traces
 
 QUERIES, ORACLE = {}, {}
+#: Checks over the seeds and curated patterns alone.  They read no table, so they aren't among the queries; tests run them.
+FIXED = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        ORACLE[f.__name__] = sql
         return f
 
     return add
 
 
-# ---- certificates themselves (no SQL says these)
+def fixed(f):
+    FIXED[f.__name__] = f
+    return f
 
 
-@query()
+# ---- certificates themselves
+
+
+@fixed
 def seeds(spark, sf):
     """The 23 seed goals: shape, depth, and whether they are out of distribution by label and by shape."""
     known = F.broadcast(V.curated(spark, 1).select("shape").distinct().withColumn("known", F.lit(True)))  # 20 shapes
@@ -40,26 +46,26 @@ def seeds(spark, sf):
     return out.select(F.col("cert_id").alias("label"), "shape", F.col("depth").cast("long").alias("depth"), F.col("cert_id").isin(proofs.OOD_LABELS).alias("ood_label"), F.col("known").isNull().alias("ood_shape"))
 
 
-@query()
+@fixed
 def gold_verify(spark, sf):
     """Verdict of every seed's proof."""
     return V.verify_tokens(V.seed_certs(spark), strict=True).select("cert_id", "verdict", "open_hyps")
 
 
-@query()
+@fixed
 def prefix_theorems(spark, sf):
     """Every theorem that the seeds' proofs derive on the way."""
     return V.prefix_theorems(V.seed_certs(spark)).select("cert_id", "step_id", F.array_join("hyps", "; ").alias("hyps"), "concl")
 
 
-@query()
+@fixed
 def prefix_verdicts(spark, sf):
     """Verdict of every prefix of the seeds' proofs, and of one step more than there are."""
     prefixes = V.seed_certs(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth") + 1)))
     return V.prefix_verdicts(prefixes).select("cert_id", "k", "ok", "concl")
 
 
-@query()
+@fixed
 def grammar_accept(spark, sf):
     """Grammar acceptance of the seeds' proofs and of the same cut in half."""
     full = V.seed_certs(spark).select("cert_id", "cert_toks")
@@ -67,14 +73,14 @@ def grammar_accept(spark, sf):
     return V.grammar(full.unionByName(half)).select("cert_id", "accepted", "taken", F.size("allowed_next").alias("n_allowed"))
 
 
-@query()
+@fixed
 def curated_corpus(spark, sf):
     """200 instances of each curated pattern, with shape and length."""
     out = V.with_native_columns(V.curated(spark, 200))
     return out.select("cert_id", "shape", "length", (F.array_join("rule_shape", "-") == F.col("shape")).alias("shape_from_tokens"))
 
 
-@query()
+@fixed
 def gen_walks(spark, sf):
     """Random derivations and their verdicts."""
     walks = V.generate(spark, 400, 6)
@@ -87,21 +93,21 @@ def _goals(spark):
     return spark.createDataFrame([*goals, ("euclid", show(provers.EUCLID))], "goal_id string, goal string")
 
 
-@query()
+@fixed
 def goal_search(spark, sf):
     """Best-first search for every seed, guided by the curated corpus' counts; what is found is replayed."""
     seeds = _goals(spark).where("goal_id <> 'euclid'")
     return P.search(seeds, V.counts(V.curated(spark, 20))).select("goal_id", "solved", "shape", "calls", "depth")
 
 
-@query()
+@fixed
 def goal_sample(spark, sf):
     """Flat sampling for every seed."""
     seeds = _goals(spark).where("goal_id <> 'euclid'")
     return P.search(seeds, V.counts(V.curated(spark, 20)), method="sample", seed=1).select("goal_id", "solved", "shape", "calls", "depth")
 
 
-@query()
+@fixed
 def prove_goals(spark, sf):
     """The first prover, in order, that proves each goal, with a store that holds two of the proofs."""
     kept = ["conj_assoc", "comp_imp"]
@@ -112,13 +118,13 @@ def prove_goals(spark, sf):
     return out.select("goal_id", "prover")
 
 
-@query()
+@fixed
 def goal_subterms(spark, sf):
     """Token subterms of every seed's goal."""
     return P.subterms(V.seed_certs(spark)).select("cert_id", "place", F.array_join("toks", " ").alias("toks"))
 
 
-@query()
+@fixed
 def walk_probes(spark, sf):
     """Reach of each rule in walks of which half open with a kit: steps that made it possible, took it and kept it."""
     steps = V.probes(spark, 400, 6, kit=0.5).select(F.explode("steps").alias("s")).where("NOT s.kit")
@@ -127,7 +133,7 @@ def walk_probes(spark, sf):
     return seen.groupBy("rule").agg(F.count(F.lit(1)).alias("applicable"), F.count_if(taken).alias("sampled"), F.count_if(taken & F.col("apply_ok")).alias("applied"))
 
 
-@query()
+@fixed
 def fed_back_walks(spark, sf):
     """A second batch of walks, weighed by the counts of the first; by rule, its steps in both."""
     first = V.generate(spark, 200, 6)
@@ -137,7 +143,7 @@ def fed_back_walks(spark, sf):
     return rules.groupBy("rule").agg(F.count_if(F.col("batch") == 0).alias("first"), F.count_if(F.col("batch") == 1).alias("second"))
 
 
-@query()
+@fixed
 def syntactic_rewards(spark, sf):
     """Rewards by form alone: the seeds' proofs and the same cut in half."""
     full = V.seed_certs(spark)
@@ -145,7 +151,7 @@ def syntactic_rewards(spark, sf):
     return V.syntactic(full.unionByName(half), bonus=1.0)
 
 
-@query()
+@fixed
 def template_verdicts(spark, sf):
     """Certificates from templates by shape: how many there are, replay, and are right in form."""
     made = V.templates(spark, 2000)
@@ -153,20 +159,20 @@ def template_verdicts(spark, sf):
     return judged.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == 100).alias("replayed"), F.count_if("accepted").alias("well_formed"))
 
 
-@query()
+@fixed
 def gen_variants(spark, sf):
     """Three renamed variants of each seed, and their verdicts."""
     out = V.variants(V.seed_certs(spark), 3)
     return out.join(V.verify_tokens(out, strict=True), "cert_id").select("cert_id", "shape", "verdict")
 
 
-@query()
+@fixed
 def proof_trace(spark, sf):
     """A LaTeX document for every seed's proof."""
     return proof_documents(V.seed_certs(spark)).select("cert_id", F.length("tex").alias("n_chars"), F.md5("tex").alias("tex_md5"))
 
 
-@query()
+@fixed
 def buffer_scan(spark, sf):
     """Seeds written as a buffer of JSON lines and read back with its schema and defaults."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prooflake-")
@@ -200,27 +206,37 @@ def dangling_premises(spark, sf):
     return R.dangling(*_cited(spark, sf))
 
 
-_AX = "('add_zero', 'nat'), ('prime_two', 'bool')"
-
-
-@query(f"WITH a(name, ty) AS (VALUES {_AX}), c(cid, name) AS (VALUES (1, 'add_zero'), (2, 'forged'), (3, 'prime_two')) SELECT cid, c.name, ty, ty IS NOT NULL AS declared FROM c LEFT JOIN a ON a.name = c.name")
+@query(
+    f"""WITH a AS (SELECT user_id, event_type AS name, min(CAST(ts AS DATE)) AS since FROM events WHERE CAST(ts AS DATE) <= DATE '{BASELINE}' GROUP BY ALL)
+SELECT e.event_id, e.event_type AS name, since, since IS NOT NULL AS declared FROM events e LEFT JOIN a ON a.user_id = e.user_id AND a.name = e.event_type WHERE CAST(e.ts AS DATE) > DATE '{BASELINE}'"""
+)
 def axiom_lookup(spark, sf):
-    """Cited axioms and whether they are declared."""
-    a = spark.sql(f"SELECT * FROM VALUES {_AX} AS t(name, ty)")
-    c = spark.sql("SELECT * FROM VALUES (1, 'add_zero'), (2, 'forged'), (3, 'prime_two') AS t(cid, name)")
-    return c.join(F.broadcast(a), "name", "left").select("cid", "name", "ty", F.col("ty").isNotNull().alias("declared"))  # a fixed table
+    """Citations and whether what they name is declared: a user's first events of a type declare it, later ones cite it."""
+    e = events(spark, sf).select("event_id", "user_id", F.col("event_type").alias("name"), "d")
+    declared = e.where(F.col("d") <= BASELINE).groupBy("user_id", "name").agg(F.min("d").alias("since"))
+    return R.declared(e.where(F.col("d") > BASELINE), declared, ["user_id", "name"]).select("event_id", "name", "since", "declared")
 
 
 _RULES = ", ".join(f"('{r}', '{vocab.SIGNATURES[r][0]}', {vocab.SIGNATURES[r][1]})" for r in vocab.RULES)
-_CITED = "(1, 'REFL', 'term', 0), (1, 'TRANS', 'term', 2), (2, 'SPEC', 'term', 1), (2, 'MP', 'none', 1), (3, 'NOPE', 'none', 0)"
+_NAMES = [*vocab.RULES, "NOPE"]
+_KINDS = sorted({kind for kind, _ in vocab.SIGNATURES.values()})
 
 
-@query(f"WITH r(rule, kind, n) AS (VALUES {_RULES}), s(cid, rule, witness_kind, premises) AS (VALUES {_CITED}) SELECT cid, s.rule, coalesce(r.kind = s.witness_kind AND r.n = s.premises, false) AS ok FROM s LEFT JOIN r ON r.rule = s.rule")
+@query(
+    f"""WITH r(rule, kind, n) AS (VALUES {_RULES}), s AS (SELECT event_id, {_NAMES}[event_id % {len(_NAMES)} + 1] AS rule,
+{_KINDS}[event_id // {len(_NAMES)} % {len(_KINDS)} + 1] AS witness_kind, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 3 AS premises FROM events)
+SELECT event_id, s.rule, coalesce(r.kind = s.witness_kind AND r.n = s.premises, false) AS ok FROM s LEFT JOIN r ON r.rule = s.rule"""
+)
 def witness_kind_check(spark, sf):
-    """Whether steps have the witness and the premises that their rule takes."""
-    s = spark.sql(f"SELECT * FROM VALUES {_CITED} AS t(cid, rule, witness_kind, premises)")
+    """Whether steps have the witness and as many premises as their rule takes; events stand for steps."""
+
+    def dealt(names, k):
+        return F.element_at(F.array(*map(F.lit, names)), (F.pmod(k, F.lit(len(names))) + 1).cast("int"))
+
+    k, premises = F.col("event_id"), F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("long") % 3
+    s = events(spark, sf).select("event_id", dealt(_NAMES, k).alias("rule"), dealt(_KINDS, F.floor(k / len(_NAMES))).alias("witness_kind"), premises.alias("premises"))
     r = F.broadcast(vocab.rules_table(spark).withColumnRenamed("witness_kind", "kind"))  # 23 rows
-    return s.join(r, "rule", "left").select("cid", "rule", F.coalesce((F.col("kind") == F.col("witness_kind")) & (F.col("arity") == F.col("premises")), F.lit(False)).alias("ok"))
+    return s.join(r, "rule", "left").select("event_id", "rule", F.coalesce((F.col("kind") == F.col("witness_kind")) & (F.col("arity") == F.col("premises")), F.lit(False)).alias("ok"))
 
 
 # ---- pairings of steps, on event traces: a step's rule is its left side, the next step's rule its right side

@@ -168,10 +168,11 @@ def topk_rules(spark, sf):
     return S.top_scores(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 23).alias("scores")), "vec_id", "scores", 3)
 
 
-@query(f"SELECT s.id AS seed, k.id AS sample, md5(concat(CAST(s.id AS VARCHAR), '/', CAST(k.id AS VARCHAR))) AS key FROM range({SEEDS}) s(id), range(64) k(id)")
+@query("SELECT user_id AS seed, k.id AS sample, md5(concat(CAST(user_id AS VARCHAR), '/', CAST(k.id AS VARCHAR))) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) u, range(64) k(id)")
 def rollout_grid(spark, sf):
-    """Every seed with every sample number."""
-    grid = spark.range(SEEDS).select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("sample"))
+    """Every user, as a seed, with every sample number."""
+    seeds = table(spark, sf, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("seed")).distinct()
+    grid = seeds.select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("sample"))
     return grid.withColumn("key", F.md5(F.concat_ws("/", F.col("seed").cast("string"), F.col("sample").cast("string"))))
 
 

