@@ -1,9 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a batch form one small corpus.  An inverted index from merge rank (a token pair) to the
-positions where the pair stands drives the replay: ranks are taken in order, a merge is applied at all its positions,
-and only the two touched neighbours of each get new index entries.  Words never interact, so the result is that of
-encoding every pre-token alone.  Decoding looks ids up in the table; a text whose decoded bytes are not its own bytes
+The distinct pre-tokens of the whole table, found by one aggregation, are the corpus; Spark divides it by hash.  In each part an
+inverted index from merge rank (a token pair) to the positions where the pair stands drives the replay: ranks are taken
+in order, a merge is applied at all its positions, and only the two touched neighbours of each get new index entries.
+Words never interact, so the result is that of encoding every pre-token alone, each once for the whole table.  Their ids go
+into sorted pages (``pages``) in the shared folder, where the texts' pre-tokens are looked up; texts aren't shuffled.
+Decoding looks ids up in the table; a text whose decoded bytes are not its own bytes
 (which only a hash collision between two pre-tokens could cause) is encoded again without the cache.
 
 Defined cases: a null text is empty and has no ids; repeated rows are rows of their own; an empty table gives no rows;
@@ -19,11 +21,14 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .pages import Pages, store
+from .scratch import Scratch
 from .wordcache import WordCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -148,20 +153,89 @@ class Decoder:
         return self.data[np.repeat(self.first[ids] - (upto - n), n) + np.arange(upto[-1])].tobytes()
 
 
-_WORKER: dict[str, tuple[MergeReplay, WordCache, Decoder]] = {}
+#: Bytes of pre-tokens that one replay takes (a longer one is taken alone), and pre-tokens that a task remembers as sent.
+REPLAY_BYTES, SENT = 1 << 20, 500_000
 
+_WORKER: dict[str, tuple[MergeReplay, Decoder]] = {}
+_CACHE: dict[str, WordCache] = {}
 
-def codec(path: str) -> tuple[MergeReplay, WordCache, Decoder]:
-    """This process's replay, cache and decoder for a rank file."""
+
+def codec(path: str) -> tuple[MergeReplay, Decoder]:
+    """This process's replay and decoder for a rank file."""
     if path not in _WORKER:
         replay = MergeReplay(load_ranks(path))
-        _WORKER[path] = replay, WordCache(replay.encode), Decoder(replay.bytes_of)
+        _WORKER[path] = replay, Decoder(replay.bytes_of)
     return _WORKER[path]
 
 
-def _encode(path: str, with_ids: bool):
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word): pre-tokens by hash, each once for as long as the task remembers it."""
+    sent: set[int] = set()
+    for batch in batches:
+        for _, _, data, offsets in K.calls(batch.column("text")):
+            starts, _ = K.pretokens(data, offsets)
+            if not len(starts):
+                continue
+            ends = np.append(starts[1:], len(data))
+            code, uniq = pd.factorize(K.slice_hash(data, starts, ends))
+            where = np.empty(len(uniq), np.int64)
+            where[code] = np.arange(len(code))
+            if len(sent) > SENT:
+                sent.clear()
+            new = [k for k, h in enumerate(uniq.tolist()) if h not in sent]
+            if new:
+                sent.update(uniq[new].tolist())
+                raw, at = data.tobytes(), where[new]
+                words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(uniq[new].view(np.int64)), pa.array(words, pa.binary())], names=["key", "word"])
+
+
+def _replayed(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, _ = codec(path)
+        keys: list[int] = []
+        words: list[bytes] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            n = len(keys)
+            return pa.RecordBatch.from_arrays([pa.array([""] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(replay.encode(words), pa.binary())], names=["lang", "part", "key", "v"])
+
+        for batch in batches:
+            for key, word in zip(batch.column("key").to_pylist(), batch.column("word").to_pylist(), strict=True):
+                if words and size + len(word) > REPLAY_BYTES:
+                    yield out()
+                    keys, words, size = [], [], 0
+                keys.append(key)
+                words.append(word)
+                size += len(word)
+        if words:
+            yield out()
+
+    return run
+
+
+def replay(docs: DataFrame, vocabulary: str, keep: Scratch) -> Pages:
+    """Ids of every distinct pre-token of the table, by its hash; of two with one hash the smaller (see ``_encode``)."""
+    words = docs.select("text").mapInArrow(_words, "key long, word binary").groupBy("key").agg(F.min("word").alias("word"))
+    encoded = keep.keep(keep.keep(words, "words").mapInArrow(_replayed(vocabulary), "lang string, part int, key long, v binary"), "encoded")
+    pages = store(encoded, keep.path("pages"))
+    keep.drop("words", "encoded")
+    return pages
+
+
+def _cache(path: str, pages: Pages) -> WordCache:
+    """This process's cache in front of the pages."""
+    if pages.root not in _CACHE:
+        _CACHE.clear()
+        _CACHE[pages.root] = WordCache(codec(path)[0].encode, find=lambda key: pages.find_bytes("", 0, key))
+    return _CACHE[pages.root]
+
+
+def _encode(path: str, pages, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, cache, decoder = codec(path)
+        replay, decoder = codec(path)
+        cache = _cache(path, pages.value)
         for batch in batches:
             ids_col = batch.column("doc_id")
             for lo, hi, data, offsets in K.calls(batch.column("text")):
@@ -191,7 +265,9 @@ def _encode(path: str, with_ids: bool):
 def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(vocabulary, with_ids), schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pages = docs.sparkSession.sparkContext.broadcast(replay(own, vocabulary, Scratch(docs.sparkSession, "bpe")))  # the pages' index: a row for 65,536 pre-tokens
+    return own.mapInArrow(_encode(vocabulary, pages, with_ids), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -11,10 +11,13 @@ from . import kernels as K
 
 
 class WordCache:
-    """Ids of pre-tokens by their 64-bit hash; forgets everything when it holds ``most`` entries."""
+    """Ids of pre-tokens by their 64-bit hash; forgets everything when it holds ``most`` entries.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 400_000):
-        self.encode, self.most, self.ids = encode, most, {}
+    ``find``, if given, is asked by hash first; what it doesn't know is encoded.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 400_000, find: Callable[[np.ndarray], list[bytes | None]] | None = None):
+        self.encode, self.most, self.find, self.ids = encode, most, find, {}
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all rows of a slice one after another, and each row's bounds in them."""
@@ -30,6 +33,10 @@ class WordCache:
             self.ids.clear()
         got = self.ids
         new = [k for k, h in enumerate(keys) if h not in got]
+        if new and self.find:
+            found = self.find(uniq[new].view(np.int64))
+            got.update((keys[k], ids) for k, ids in zip(new, found, strict=True) if ids is not None)
+            new = [k for k, ids in zip(new, found, strict=True) if ids is None]
         if new:
             raw = data.tobytes()
             at = where[new]

@@ -12,7 +12,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from prooflake.llm import bpe, kernels, packing, sharding, warc
+from prooflake.llm import bpe, kernels, packing, pages, sharding, warc
+from prooflake.llm.scratch import Scratch
 
 ODD = [(0, None), (1, ""), (2, "a"), (2, "a"), (3, "same text here"), (4, "same text here"), (5, "x" * 70_000), (6, "word " * 9_000), (7, "It's 'll I'VE   \n\n é中😀   12²"), (8, " \t ")]
 
@@ -205,3 +206,30 @@ def test_segments_of_repeated_pages_are_groups_of_their_own(spark, tmp_path):
     assert len(sizes) == 30 and len(set(sizes)) == 1 and sizes[0] < 20
     got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()]
     assert sorted(got) == [(1, "response", None, 8000)] * 30 + [(2, "revisit", 1, 8000)]
+
+
+@pytest.mark.parametrize("page", [1, 7, 1 << 16])
+def test_pages_hold_byte_strings(spark, page):
+    rng = np.random.default_rng(page)
+    rows = {(part, int(k)): bytes(rng.integers(0, 256, int(k) % 9, np.uint8)) for part in (0, 1) for k in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
+    df = spark.createDataFrame([("", *k, v) for k, v in rows.items()], "lang string, part int, key long, v binary").repartition(4)
+    found = pages.store(df, Scratch(spark, "test").path("pages"), page)
+    for part in (0, 1, 2):
+        key = [k for _, k in rows] + [0, 1, -1]
+        assert found.find_bytes("", part, np.array(key)) == [rows.get((part, k)) for k in key]
+
+
+def test_each_pretoken_is_replayed_once_for_the_table(spark, frame):
+    rng = np.random.default_rng(5)
+    words = [" " + "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(1, 14))) for _ in range(300)] + ["😀é" * 50, " " * 400]
+    docs = frame([(i, "".join(rng.choice(words, 80))) for i in range(60)] + [(99, None), (100, ""), (101, words[-2])]).repartition(6)
+    found = bpe.replay(docs, P.path(bpe.VOCABULARY), Scratch(spark, "test"))
+    ranks = bpe.load_ranks(P.path(bpe.VOCABULARY))
+    enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    distinct = {m for r in docs.collect() for m in regex.findall(P.PATTERN, r.text or "")}
+    assert sum(int(x[4].sum()) for x in found.of.values()) == len(distinct)
+    data = [w.encode() for w in sorted(distinct)]
+    ends = np.cumsum([len(w) for w in data])
+    key = kernels.slice_hash(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends[:-1]), ends).view(np.int64)
+    for w, ids in zip(data, found.find_bytes("", 0, key), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc._core_bpe.encode_single_piece(w)
