@@ -148,24 +148,24 @@ def uniform_mix(spark, sf):
 
 @query(
     """WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings),
-s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS place, CAST(embedding[i] AS DOUBLE) AS z FROM x WHERE i <= 23 AND embedding[i] > 0),
+s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS place, CAST(embedding[i] AS DOUBLE) AS z FROM x WHERE embedding[i] > 0),
 e AS (SELECT vec_id, place, exp(z / 2.0 - max(z / 2.0) OVER (PARTITION BY vec_id)) AS e FROM s)
 SELECT vec_id, place, round(e / sum(e) OVER (PARTITION BY vec_id), 6) + CAST(0 AS DOUBLE) AS p FROM e"""
 )
 def masked_softmax(spark, sf):
     """Temperature softmax over the allowed entries of a score vector."""
-    x = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 23)).alias("i", "z"))
+    x = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "z"))
     return S.softmax(x.select("vec_id", F.col("i").cast("long").alias("place"), F.col("z").cast("double").alias("z")), F.col("z"), ["vec_id"], TEMPERATURE, F.col("z") > 0).select("vec_id", "place", "p")
 
 
 @query(
     """WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings),
-s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS place, CAST(embedding[i] AS DOUBLE) AS score FROM x WHERE i <= 23),
+s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS place, CAST(embedding[i] AS DOUBLE) AS score FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, place) AS rank FROM s) SELECT vec_id, rank, place, score FROM r WHERE rank <= 3"""
 )
 def topk_rules(spark, sf):
-    """Three best rules of each score vector."""
-    return S.top_scores(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 23).alias("scores")), "vec_id", "scores", 3)
+    """Three best entries of each score vector."""
+    return S.top_scores(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("scores")), "vec_id", "scores", 3)
 
 
 @query("SELECT user_id AS seed, k.id AS sample, md5(concat(CAST(user_id AS VARCHAR), '/', CAST(k.id AS VARCHAR))) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) u, range(64) k(id)")
@@ -195,13 +195,13 @@ def toy_validator(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT md5(text) AS key, min(doc_id) AS cached FROM documents WHERE doc_id < 200 GROUP BY ALL)
+    f"""WITH {JUDGED}, c AS (SELECT md5(text) AS key, min(doc_id) AS cached FROM judged WHERE quality = 1 GROUP BY ALL)
 SELECT doc_id, cached FROM documents LEFT JOIN c ON md5(text) = key"""
 )
 def cache_lookup(spark, sf):
-    """Certificate cache hits by the digest of the goal."""
+    """Cache hits by the digest of the text; the cache holds what was judged good."""
     d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"))
-    cache = d.where("doc_id < 200").groupBy("key").agg(F.min("doc_id").alias("cached"))
+    cache = judged(spark, sf).where("quality = 1").groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("cached"))
     return d.join(cache, "key", "left").select("doc_id", "cached")
 
 
@@ -222,7 +222,7 @@ def resample(spark, sf):
     return S.resampled(weighed, "doc_id", "w", DRAWS, 7)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('/', '42', doc_id)), doc_id) AS place FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('/', '42', doc_id)), doc_id) AS place FROM documents")
 def shuffle(spark, sf):
-    """English documents in a seeded order, with their places."""
-    return S.shuffled(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", 42)
+    """All documents in a seeded order, with their places."""
+    return S.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 42)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import nesting as N
 from ..operators import paths as K
 from ..operators import renaming as R
-from .tables import TRACES, events, steps, table
+from ..sources.files import goal_lines
+from .tables import STEPS, TRACES, events, steps, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -83,3 +84,23 @@ def renamed_traces(spark, sf):
     """Traces that are equal up to the names of their rules: the size of each one's class and its first member."""
     got = R.classes(steps(spark, sf).select("user_id", "d", "pos", "rule"), ["user_id", "d"], "pos", "rule")
     return got.select("user_id", "d", "n", "n_symbols", "size", F.col("first.user_id").alias("first_user"), F.col("first.d").alias("first_d"))
+
+
+_KIND = "CASE rule WHEN 'view' THEN 'type' WHEN 'click' THEN 'const' WHEN 'signup' THEN 'axiom' WHEN 'purchase' THEN 'goal' END"
+
+
+def decls(spark, sf):
+    """Declarations of a goal file for each trace: event types stand for kinds, properties for bodies."""
+    kind = F.create_map(*map(F.lit, ("view", "type", "click", "const", "signup", "axiom", "purchase", "goal")))
+    arity = F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int") % 3
+    return steps(spark, sf).select(F.concat_ws("-", "user_id", "d").alias("file"), "pos", kind[F.col("rule")].alias("kind"), F.concat("rule", F.col("pos").cast("string")).alias("name"), arity.alias("arity"), F.col("props").alias("body"))
+
+
+@query(
+    rf"""WITH {STEPS}, x AS (SELECT concat_ws('-', s.user_id, d) AS file, {_KIND} AS kind, pos, '"' || rule || pos || '"' AS name, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 3 AS arity,
+'"' || replace(replace(props, '\', '\\'), '"', '\"') || '"' AS body FROM steps s JOIN events USING (event_id))
+SELECT file, kind = 'goal' AS last, pos, CASE kind WHEN 'type' THEN '(type ' || name || ' ' || arity || ')' WHEN 'goal' THEN '(goal ' || body || ')' ELSE '(' || kind || ' ' || name || ' ' || body || ')' END AS value FROM x WHERE kind IS NOT NULL AND body IS NOT NULL"""
+)
+def goal_file_lines(spark, sf):
+    """Lines of the goal files that traces make, in the order (last, pos) of each file."""
+    return goal_lines(decls(spark, sf))

@@ -269,6 +269,33 @@ def goal_text(decls, goal: str) -> str:
     return "\n".join([*(form[k](n, a, b) for k, n, a, b in decls if k in form), f"(goal {_quote(goal)})"]) + "\n"
 
 
+def goal_lines(decls: DataFrame) -> DataFrame:
+    """(file, last, pos, value): lines of goal files from declarations (file, pos, kind, name, arity, body), native.
+
+    ``last`` sorts goals after all else.  Kinds that a goal file doesn't hold and rows without what their kind needs have no line.
+    """
+
+    def quoted(c: str):
+        x = F.col(c)
+        for plain, marked in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+            x = F.replace(x, F.lit(plain), F.lit(marked))
+        return F.concat(F.lit('"'), x, F.lit('"'))
+
+    kind, sp = F.col("kind"), F.lit(" ")
+    line = (
+        F.when(kind == "type", F.concat(F.lit("(type "), quoted("name"), sp, F.col("arity").cast("string"), F.lit(")")))
+        .when(kind.isin("const", "axiom"), F.concat(F.lit("("), kind, sp, quoted("name"), sp, quoted("body"), F.lit(")")))
+        .when(kind == "goal", F.concat(F.lit("(goal "), quoted("body"), F.lit(")")))
+    )
+    return decls.select("file", (kind == "goal").alias("last"), "pos", line.alias("value")).where("value IS NOT NULL")
+
+
+def write_goal_files(decls: DataFrame, path: str) -> None:
+    """Declarations as goal files, one a ``file`` in a folder file=..., line by line: no file is ever held whole."""
+    lines = goal_lines(decls).repartition("file").sortWithinPartitions("file", "last", "pos")
+    lines.select("file", "value").write.mode("append").partitionBy("file").option("lineSep", "\n").text(path)
+
+
 def read_decls(spark: SparkSession, path: str, form: str) -> DataFrame:
     """(path, kind, name, arity, body) of goal (``kf``) or theory (``thy``) files."""
     parse = {"kf": goal_decls, "thy": theory_decls}[form]

@@ -195,3 +195,24 @@ def test_refused_and_long_entries_stay_out(spark, tmp_path):
     assert sorted((r.goal_toks, r.cert_toks) for r in got.collect()) == [([1], [2]), ([7], [8])]
     ingest.ingest(spark, source, sink, check).awaitTermination()
     assert spark.read.json(sink).count() == 2
+
+
+def test_declarations_become_goal_files_and_come_back(spark, sf, tmp_path):
+    from prooflake.plans.structure import decls
+
+    odd = [("odd", k, *x) for k, x in enumerate([("goal", "goal", None, "early"), ("type", 'a"b', 2, None), ("const", "c\\\\d", None, "line\n\ttab"), ("unknown", "u", None, "x"), ("axiom", "none", None, None), ("goal", "goal", None, "x = \"y\"")])]
+    rows = decls(spark, sf).where("kind IS NOT NULL").unionByName(spark.createDataFrame(odd, "file string, pos long, kind string, name string, arity int, body string"))
+    rows = rows.where("file = 'odd' OR file LIKE '1%'")
+    files.write_goal_files(rows, f"{tmp_path}/goals")
+    found = {}
+    for r in files.read_decls(spark, f"{tmp_path}/goals/*", "kf").collect():
+        found.setdefault(r.path.split("/file=")[1].split("/")[0], []).append((r.kind, r.name, r.arity, r.body))
+    want = {}
+    for r in rows.orderBy("pos").collect():
+        if r.kind == "type" and r.arity is not None:
+            want.setdefault(r.file, []).append((r.kind, r.name, r.arity, None))
+        elif r.kind in ("const", "axiom") and r.body is not None:
+            want.setdefault(r.file, []).append((r.kind, r.name, None, r.body))
+    for r in rows.where("kind = 'goal'").groupBy("file").agg(F.max_by("body", "pos").alias("body")).collect():
+        want.setdefault(r.file, []).append(("goal", "goal", None, r.body))
+    assert len(want) > 20 and found == want
