@@ -13,8 +13,9 @@ upper bound lies below the k-th best lower bound, of this block or of exact scor
 found before), can't be among the best k.  Processing stops when few possible members are left, and exactly
 these are scored again in integers.  Ties at the k-th score stay possible members.
 
-Query blocks are dealt to the buckets of vector blocks by a join on the bucket's number, so vectors move once; each pair
-of blocks gives k rows a query.  What one task holds is a block of vectors and one of queries.
+Vectors lie in buckets, a few for each core, and queries in groups of ``GROUP``; one shuffle brings each bucket together with
+each group.  A task holds a group of queries with their k best so far and one block of vectors at a time; a bucket gives k
+rows a query.  Nothing is broadcast but a row for each partition.
 
 Defined cases: null and empty vectors and vectors with null or non-finite components take no part; a missing component
 counts as 0; repeated rows are candidates of their own, a query's own id never is; of an id with several different
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from .scratch import Scratch
 SCALE = 256
 K_BEST = 5
 VECTORS, QUERIES = 8192, 512
+#: Queries of a group, which a task holds, and buckets of vectors for each core; every group is sent to every bucket.
+GROUP, BUCKETS = 64 * QUERIES, 4
 #: Levels of the quantised impact of a dimension.
 LEVELS = 16
 #: Possible members that are scored exactly at once: so many, or this part of a block.
@@ -163,18 +167,25 @@ class ImpactBlock:
 
 
 def _pack(size: int):
-    """Blocks (block, ids, vectors): bytes of float64 integers, exact up to 2^53."""
+    """Blocks (part, before, n, ids, vectors, width): ``before`` counts the vectors before it in its partition.
+
+    Vectors are bytes of 16 or 32-bit integers where these hold them, otherwise of float64 integers, exact up to 2^53.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vectors: list[np.ndarray] = []
+        part, before = TaskContext.get().partitionId(), 0
 
         def out() -> pa.RecordBatch:
             width = max(map(len, vectors))
             m = np.zeros((len(vectors), width))
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([m.tobytes()]), pa.array([width], pa.int32())], names=["ids", "vectors", "width"])
+            most = np.abs(m).max()
+            kind = np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64
+            columns = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([m.astype(kind).tobytes()]), pa.array([width], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "before", "n", "ids", "vectors", "width"])
 
         for b in batches:
             rows, found = quantised(b.column("embedding"))
@@ -186,6 +197,7 @@ def _pack(size: int):
                 vectors.append(v)
                 if len(ids) == size:
                     yield out()
+                    before += size
                     ids, vectors = [], []
         if ids:
             yield out()
@@ -194,55 +206,78 @@ def _pack(size: int):
 
 
 def _unpack(ids, vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.frombuffer(vectors, np.float64).reshape(-1, width)
-    return np.frombuffer(ids, np.int64), _matrix(list(m)) if np.abs(m).max(initial=0) > 1 << 26 else m.astype(np.int64)
+    ids = np.frombuffer(ids, np.int64)
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(vectors) // (len(ids) * width)]
+    m = np.frombuffer(vectors, kind).reshape(-1, width).astype(np.float64)
+    return ids, _matrix(list(m)) if np.abs(m).max(initial=0) > 1 << 26 else m.astype(np.int64)
 
 
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def _search(k: int):
+    """Rows come by (bucket, group), queries first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[object, ImpactBlock | None] = (None, None)
-        best: dict[object, list] = {}  # of the query blocks of this bucket: each query's k best scores so far
-        bucket = None
+        place, queries = None, []
+        best: dict[int, list] = {}  # of the queries of this group: the k best so far as (-score, id)
+
+        def out() -> pa.RecordBatch:
+            query = [own for own, top in best.items() for _ in top]
+            vec = [i for top in best.values() for _, i in top]
+            score = [min(max(-s, _LONG[0]), _LONG[1]) for top in best.values() for s, _ in top]
+            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
+
         for b in batches:
-            for r in b.to_pylist():
-                if bucket != r["bucket"]:
-                    bucket, best = r["bucket"], {}
-                if held[0] != r["v_ids"]:
-                    held = (r["v_ids"], ImpactBlock(*_unpack(r["v_ids"], r["v_vectors"], r["v_width"])))
-                q_ids, q = _unpack(r["q_ids"], r["q_vectors"], r["q_width"])
-                query, vec, score = [], [], []
-                for own, x in zip(q_ids.tolist(), q, strict=True):
-                    top = best.setdefault(own, [])
-                    i, s = held[1].search(x, own, k, top[k - 1] if len(top) >= k else -np.inf)
-                    query += [own] * len(i)
-                    vec += i.tolist()
-                    score += (s := s.tolist())
-                    best[own] = sorted(top + s, reverse=True)[:k]
-                score = [min(max(x, _LONG[0]), _LONG[1]) for x in score]
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
+            for at in range(b.num_rows):
+                r = {name: b.column(name)[at].as_py() for name in b.schema.names}
+                if place != (r["bucket"], r["group"]):
+                    if best:
+                        yield out()
+                    place, queries, best = (r["bucket"], r["group"]), [], {}
+                ids, matrix = _unpack(r["ids"], r["vectors"], r["width"])
+                if not r["kind"]:
+                    queries.append((ids.tolist(), matrix))
+                    continue
+                block = ImpactBlock(ids, matrix)
+                for owns, q in queries:
+                    for own, x in zip(owns, q, strict=True):
+                        top = best.get(own, [])
+                        i, s = block.search(x, own, k, -top[k - 1][0] if len(top) >= k else -np.inf)
+                        best[own] = sorted(top + list(zip((-s).tolist(), i.tolist(), strict=True)))[:k]
+        if best:
+            yield out()
 
     return K.lean(run)
 
 
+def _dealt(blocks: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Blocks with the number of the run of ``size`` vectors that they begin in, and how many such runs there are."""
+    starts, total = [], 0
+    for part, n in blocks.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row a partition
+        starts.append((part, total))
+        total += n
+    start = blocks.sparkSession.createDataFrame(starts, "part int, start long")
+    run = F.floor((F.col("start") + F.col("before")) / size).cast("int")
+    return blocks.join(F.broadcast(start), "part").withColumn(name, run).drop("start"), max(1, -(-total // size))
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = K_BEST, queries_of: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by ``queries_of``."""
     finite = "vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.coalesce(F.expr(finite), F.lit(False)))
-    ddl = "ids binary, vectors binary, width int"
+    ddl = "part int, before long, n long, ids binary, vectors binary, width int"
     q = source.where(F.col("vec_id") % queries_of == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(_pack(QUERIES), ddl)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"))
-    v = source.mapInArrow(_pack(VECTORS), ddl).select(F.col("ids").alias("v_ids"), F.col("vectors").alias("v_vectors"), F.col("width").alias("v_width"))
-    # every block of queries goes to every bucket of vector blocks
     keep = Scratch(spark, "topk")
-    q, v = keep.keep(q, "queries"), keep.keep(v, "vectors")
-    buckets = max(1, v.count())
-    v = v.withColumn("bucket", F.pmod(F.xxhash64("v_ids"), F.lit(buckets)).cast("int"))
-    q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    pairs = v.join(q, "bucket").sortWithinPartitions("bucket", "v_ids")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    q, v = keep.keep(q, "queries"), keep.keep(source.mapInArrow(_pack(VECTORS), ddl), "vectors")
+    # buckets of whole blocks, a few for each core
+    n = v.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    v, buckets = _dealt(v, VECTORS * max(1, -(-n // (VECTORS * BUCKETS * spark.sparkContext.defaultParallelism))), "bucket")
+    q, groups = _dealt(q, GROUP, "group")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    both = v.withColumn("group", all_of(groups)).withColumn("kind", F.lit(1)).unionByName(q.withColumn("bucket", all_of(buckets)).withColumn("kind", F.lit(0)))
+    met = both.repartition("bucket", "group").sortWithinPartitions("bucket", "group", "kind", "part", "before")
+    found = met.select("bucket", "group", "kind", "ids", "vectors", "width").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -46,6 +46,24 @@ def test_topk(spark, sf, tmp_path):
     assert sorted(map(tuple, topk.op6_topk(spark, str(tmp_path)).collect())) == plain_top(rows)
 
 
+def test_topk_by_buckets_and_groups_without_broadcast_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of queries repeated for every bucket were broadcast, through the driver."""
+    monkeypatch.setattr(topk, "VECTORS", 32)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "GROUP", 6)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 1, 4))]) for i in range(900)]
+    spark.createDataFrame([(*r, 0, "x", 1) for r in rows], VECTORS).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = topk.op6_topk(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == plain_top(rows)
+    plan = got._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for k in (k for k, x in enumerate(plan) if "Build" in x):
+        end = next((j for j in range(k + 1, len(plan)) if depth(plan[j]) <= depth(plan[k])), len(plan))
+        left, right = (j for j in range(k + 1, end) if depth(plan[j]) == depth(plan[k]) + 3)
+        assert not any("vectors" in x for x in (plan[right:end] if "BuildRight" in plan[k] else plan[left:right]))
+
+
 def test_topk_of_few_and_huge(spark, tmp_path):
     rows = [(0, [1e30, 1.0]), (50, [-1e30, 2.0]), (1, [0.5, 0.5])]
     small = [(0, [1.0, 2.0]), (50, [3.0, 1.0])]
