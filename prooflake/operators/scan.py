@@ -90,6 +90,42 @@ class Latest(Monoid):
         return F.zip_with(a, b, lambda x, y: F.when(y >= 0, y).otherwise(x))
 
 
+class Chains(Monoid):
+    """For each of ``kinds`` slots the citations that its latest row leads through, as (slot, root, rows, mask).
+
+    ``slot``: whose row before these the first of them cites (-1: none); ``root``: the first of them, -1 if there are
+    none, ``rows`` their number, ``mask`` all their masks or-ed.
+    """
+
+    kind = "bigint"
+
+    def __init__(self, kinds: int):
+        super().__init__(4 * kinds)
+        self.kinds = kinds
+
+    def identity(self) -> np.ndarray:
+        out = np.zeros((self.kinds, 4), np.int64)
+        out[:, 0], out[:, 1] = np.arange(self.kinds), -1
+        return out.ravel()
+
+    def then(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.reshape(-1, self.kinds, 4), b.reshape(-1, self.kinds, 4)
+        slot = b[:, :, 0]
+        x = np.take_along_axis(a, np.maximum(slot, 0)[:, :, None], axis=1)
+        x = np.where((slot < 0)[:, :, None], [-1, -1, 0, 0], x)
+        root = np.where(x[:, :, 1] >= 0, x[:, :, 1], b[:, :, 1])
+        return np.stack((x[:, :, 0], root, x[:, :, 2] + b[:, :, 2], x[:, :, 3] | b[:, :, 3]), axis=2).reshape(-1, self.width)
+
+    def column(self, a: Column, b: Column) -> Column:
+        out = []
+        for k in range(self.kinds):
+            slot, root, rows, mask = (b[4 * k + i] for i in range(4))
+            at = (F.greatest(slot, F.lit(0)) * 4).cast("int")
+            x = [F.when(slot < 0, F.lit(none)).otherwise(F.get(a, at + i)) for i, none in enumerate((-1, -1, 0, 0))]
+            out += [x[0], F.when(x[1] >= 0, x[1]).otherwise(root), x[2] + rows, x[3].bitwiseOR(mask)]
+        return F.array(*out)
+
+
 def composed(values: np.ndarray, fresh: np.ndarray, monoid: Monoid) -> np.ndarray:
     """Each row after all rows of its segment up to it; a segment begins where ``fresh``."""
     out = values.copy()
@@ -209,3 +245,23 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str], ident: str, ki
     for k, need in sorted(needs.items()):
         cited = F.when(F.col(kind) == k, F.get("before", F.lit(slot[need]))).otherwise(cited)
     return met.withColumn("cites", F.when(cited >= 0, cited)).drop("before")
+
+
+def latest_lineage(df: DataFrame, keys: list[str], order: list[str], ident: str, kind: str, kinds: list[str], needs: dict[str, str], mask: Column) -> DataFrame:
+    """Adds ``root``, ``depth`` and ``mask`` of the citations of ``latest_rows``, in one pass however deep they are.
+
+    ``root``: the row at their end, ``depth``: how many lie between, ``mask``: all masks or-ed, the row's own included.
+    """
+    slot = {k: i for i, k in enumerate(kinds)}
+    need, at = F.lit(-1), F.lit(-1)
+    for k, i in slot.items():
+        at = F.when(F.col(kind) == k, F.lit(i)).otherwise(at)
+        need = F.when(F.col(kind) == k, F.lit(slot[needs[k]] if k in needs else -1)).otherwise(need)
+    monoid = Chains(len(kinds))
+    row = [F.col("__need"), F.col(ident), F.lit(1), F.col("__mask")]
+    rest = monoid.identity().reshape(-1, 4).tolist()
+    own = F.array(*(F.when(F.col("__at") == i, x).otherwise(F.lit(y)).cast("bigint") for i in range(len(kinds)) for x, y in zip(row, rest[i], strict=True)))
+    met = running(df.withColumn("__at", at).withColumn("__need", need).withColumn("__mask", mask.cast("bigint")), keys, order, own, monoid, "__chain")
+    cited = [F.when(F.col("__need") >= 0, F.get("__chain", F.col("__need") * 4 + i)) for i in (1, 2, 3)]
+    met = met.withColumn("root", F.when(cited[0] >= 0, cited[0]).otherwise(F.col(ident))).withColumn("depth", F.coalesce(cited[1], F.lit(0)).cast("bigint"))
+    return met.withColumn("mask", F.coalesce(cited[2], F.lit(0)).bitwiseOR(F.col("__mask")).cast("bigint")).drop("__at", "__need", "__mask", "__chain")

@@ -123,8 +123,8 @@ def event_lineage(spark, sf):
     bit = F.lit(0)
     for k, r in enumerate(RULES):
         bit = F.when(F.col("event_type") == r, F.lit(1 << k)).otherwise(bit)
-    nodes = _cites(spark, sf).select("event_id", "cites", bit.alias("bit"))
-    got = L.lineage(nodes, "event_id", "cites", "bit")
+    e = events(spark, sf).select("ts", "event_id", "event_type")
+    got = S.latest_lineage(e, [], _ORDER, "event_id", "event_type", RULES, NEEDS, bit)
     rules = F.array_compact(F.array(*(F.when(F.col("mask").bitwiseAND(1 << k) > 0, F.lit(r)) for k, r in enumerate(RULES))))
     return got.select("event_id", "root", "depth", F.array_join(rules, ",").alias("rules"))
 

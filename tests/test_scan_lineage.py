@@ -147,3 +147,23 @@ def test_live_steps(spark):
     steps = spark.createDataFrame([(1, k, k, f"r{k}") for k in range(100)] + [(2, 7, 0, "z")], "cid int, id int, pos int, rule string")
     premises = spark.createDataFrame([(1, k, k - 2) for k in range(2, 100)], "cid int, id int, p int")
     assert {(r.cid, r.id) for r in certs.live_steps(steps, premises).collect()} == {(1, k) for k in range(1, 100, 2)} | {(2, 7)}
+
+
+@pytest.mark.parametrize("users", [["x"], ["x", "y", None], [f"u{k}" for k in range(300)]])
+def test_lineage_of_latest_rows_in_one_pass(spark, users, monkeypatch):
+    """Doubling wrote and shuffled every row again in each round."""
+    data = [(u, t, random.Random(t).choice("abcde"), v) for u, t, _, v in rows(2000, users, 6)]
+    needs, masks = {"a": "a", "b": "a", "c": "b", "e": "d"}, {"a": 1, "b": 2, "c": 4, "d": 8, "e": 16}
+    want, held = {}, {}
+    for u, t, s, _ in ORDERED(data):
+        latest = held.setdefault(u, {})
+        before = latest.get(needs.get(s))
+        got = (before[0], before[1] + 1, before[2] | masks[s]) if before else (t, 0, masks[s])
+        want[t], latest[s] = got, got
+    written = []
+    monkeypatch.setattr(scan, "kept", lambda df, name: written.append(name) or shared.kept(df, name))
+    mask = F.element_at(F.create_map(*(F.lit(x) for kv in masks.items() for x in kv)), F.col("s"))
+    df = spark.createDataFrame(data, SCHEMA).repartition(7)
+    met = scan.latest_lineage(df, ["u"], ["t"], "t", "s", list("abcd"), {k: v for k, v in needs.items() if k != "e"}, mask)
+    got = {r.t: (r.root, r.depth, r["mask"]) for r in met.collect()}
+    assert got == {t: (t, 0, 16) if x[2] & 16 else x for t, x in want.items()} and written == ["scan"]
