@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 SESSION = "start long, last long, n long, valued long, average double, day long, place int"
 OUT = "source long, start long, last long, n long, average double, pos int, rule string, count long"
 DAY = 86_400_000_000
+#: Rows of ended sessions that are given at once, if a source has so many.
+FRAME = 10_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,18 +39,25 @@ class SourceSessions(StatefulProcessor):
         self.session = handle.getValueState("session", SESSION)
         self.counts = handle.getMapState("counts", "pos int, rule string", "count long")
 
-    def _ended(self, key: int, s: list, counts: dict) -> pd.DataFrame:
-        rows = [(key, s[0], s[1], s[2], s[4], pos, rule, n) for (pos, rule), n in sorted(counts.items())]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+    def _ended(self, key: int, s: list, counts: dict) -> list[tuple]:
+        return [(key, s[0], s[1], s[2], s[4], pos, rule, n) for (pos, rule), n in sorted(counts.items())]
+
+    def _frames(self, rows: list[tuple], least: int = 1) -> Iterator[pd.DataFrame]:
+        """One frame of many sessions' rows, if they are so many: a frame for each session costs more than its rows."""
+        if len(rows) >= least:
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+            rows.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.session.get()) if self.session.exists() else None
+        held = self.session.get()  # each call of a state is a message to the JVM
+        held = list(held) if held else None
         before = held[1] if held else None
         new: dict = {}
-        fresh_start = False
+        fresh_start, ended = False, []
         for t, _, rule, value in sorted(r for part in rows for r in zip(part["us"], part["ident"], part["rule"], part["value"])):
             if held and t - held[1] > self.gap:
-                yield self._ended(key[0], held, self._merged(new, fresh_start))
+                ended += self._ended(key[0], held, self._merged(new, fresh_start))
+                yield from self._frames(ended, FRAME)
                 held, new, fresh_start = None, {}, True
             if held is None:
                 held = [t, t, 0, 0, None, t // DAY, 0]
@@ -59,13 +68,15 @@ class SourceSessions(StatefulProcessor):
             if value == value and value is not None:
                 held[3] += 1
                 held[4] = value if held[4] is None else held[4] + (value - held[4]) / held[3]
+        yield from self._frames(ended)
         if held is None:
             return
-        if fresh_start and self.counts.exists():
+        if fresh_start and before is not None:
             self.counts.clear()
+        kept = before is not None and not fresh_start  # only then there may be counts of the same session
         for k, n in new.items():
-            old = self.counts.getValue(k)[0] if self.counts.containsKey(k) else 0
-            self.counts.updateValue(k, (old + n,))
+            old = self.counts.getValue(k) if kept else None
+            self.counts.updateValue(k, ((old[0] if old else 0) + n,))
         self.session.update(tuple(held))
         if before is not None:
             self.handle.deleteTimer(self._expiry(before))
@@ -81,8 +92,9 @@ class SourceSessions(StatefulProcessor):
         return (last + self.gap) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.session.exists():
-            yield self._ended(key[0], list(self.session.get()), self._merged({}, False))
+        held = self.session.get()
+        if held:
+            yield from self._frames(self._ended(key[0], list(held), self._merged({}, False)))
             self.session.clear()
             self.counts.clear()
 

@@ -162,3 +162,38 @@ def test_sessions_over_restarts(spark, tmp_path):
     assert everything() == plain_sessions(rows)
     ended = {(r.source, r.start) for r in S.ended_sessions(spark, places[1]).select("source", "start").distinct().collect()}
     assert {u for u, _ in ended} == set(range(5)) and S.open_sessions(spark, places[2]).select("source").distinct().count() == 1  # the timers ended all others
+
+
+def test_sessions_ended_at_once_come_in_one_frame():
+    """A frame for each session, and several messages for each look at a state, took most of the time."""
+    import pandas as pd
+
+    calls = Counter()
+
+    class State(dict):
+        def __getattr__(self, name):
+            def call(*a):
+                calls[name] += 1
+                if name == "exists":
+                    return bool(self)
+                if name in ("get", "getValue"):
+                    return dict.get(self, a[0] if a else None)
+                if name in ("update", "updateValue"):
+                    self.__setitem__(*(a if name == "updateValue" else (None, a[0])))
+                return iter(()) if name == "iterator" else None
+
+            return call
+
+        def get(self, *a):
+            return self.__getattr__("get")(*a)
+
+        def update(self, *a):
+            return self.__getattr__("update")(*a)
+
+    made = S.SourceSessions(10)
+    made.handle, made.session, made.counts = State(), State(), State()
+    part = pd.DataFrame({"us": [100 * k for k in range(50)], "ident": range(50), "rule": ["a"] * 50, "value": [1.0] * 50})
+    frames = list(made.handleInputRows((7,), iter([part]), None))
+    assert [len(f) for f in frames] == [49] and frames[0]["start"].tolist() == [100 * k for k in range(49)]
+    assert dict.get(made.session, None)[:3] == (4900, 4900, 1) and dict(made.counts) == {(0, "a"): (1,)}
+    assert calls["exists"] == calls["containsKey"] == 0
